@@ -116,18 +116,18 @@ def parsed(record: Record) -> tuple[int | None, int, int, str, str, int | None]:
 
 
 def digests(pages: DataFrame) -> DataFrame:
-    """(digest, n, top_page, top_key, keys) of each payload and stretch of pages, so a frequent payload is a few rows."""
+    """(digest, n, page, key, pages, keys) of each payload and stretch of pages, page and key those of its largest, so a frequent payload is a few rows."""
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch, 1, 8 << 20):
                 found: dict[str, list[tuple[int, int]]] = {}
                 for page, html, key in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    found.setdefault(sha1(html.encode("utf-8")), []).append((NO_PAGE if page is None else page, -key))
+                    found.setdefault(sha1(html.encode("utf-8")), []).append((page, -key))
                 best = [max(x) for x in found.values()]
-                yield pa.record_batch([pa.array(list(found), pa.string()), pa.array([len(x) for x in found.values()], pa.int64()), pa.array([b[0] for b in best], pa.int64()), pa.array([-b[1] for b in best], pa.int64()), pa.array([[-k for _, k in x] for x in found.values()], pa.list_(pa.int64()))], names=["digest", "n", "page", "key", "keys"])
+                yield pa.record_batch([pa.array(list(found), pa.string()), pa.array([len(x) for x in found.values()], pa.int64()), pa.array([b[0] for b in best], pa.int64()), pa.array([-b[1] for b in best], pa.int64()), pa.array([[p for p, _ in x] for x in found.values()], pa.list_(pa.int64())), pa.array([[-k for _, k in x] for x in found.values()], pa.list_(pa.int64()))], names=["digest", "n", "page", "key", "pages", "keys"])
 
-    return pages.select("page", "html", KEY).mapInArrow(run, "digest string, n long, page long, key long, keys array<long>")
+    return pages.select("page", "html", KEY).mapInArrow(run, "digest string, n long, page long, key long, pages array<long>, keys array<long>")
 
 
 def write_warc(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -138,26 +138,33 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_
     header. Where all ids of a group are null, its revisits refer to a null id. An empty table gives no archive.
     """
     df = pages if KEY in pages.columns else keyed(pages)
-    df = df.select(F.col(f"`{id_col}`").cast("long").alias("page"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"), KEY, F.col(f"`{url_col}`").alias("url"))
+    page = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_PAGE))
+    df = df.select(page.alias("page"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"), KEY, F.col(f"`{url_col}`").alias("url"))
     groups = written(digests(df), "warc-digests")
     top = groups.groupBy("digest").agg(F.sum("n").alias("all"), F.max(F.struct("page", (-F.col("key")).alias("low"))).alias("top")).where("all > 1")
-    links = groups.select("digest", "keys").join(top, "digest").select(F.explode("keys").alias(KEY), F.col("top.page").alias("to"), (-F.col("top.low")).alias("to_key"))
-    links = links.where(F.col(KEY) != F.col("to_key")).select(KEY, "to")
+    links = groups.select("digest", "pages", "keys").join(top, "digest").select(F.explode(F.arrays_zip("pages", "keys")).alias("r"), "top")
+    links = links.where(F.col("r.keys") != -F.col("top.low")).select(F.col("r.pages").alias("page"), F.lit(None).cast("string").alias("html"), F.col("r.keys").alias(KEY), F.lit(None).cast("string").alias("url"), F.col("top.page").alias("to"))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        part = TaskContext.get().partitionId()
+        part, linked = TaskContext.get().partitionId(), {}
         for seq, block in enumerate(blocks(batches, 1, ARCHIVE_BYTES)):
             out, n = io.BytesIO(), 0
             for rows in block.to_batches(max_chunksize=500):
                 for page, html, key, url, to in zip(*(rows.column(i).to_pylist() for i in range(5)), strict=True):
+                    if html is None:
+                        linked = {key: to}  # its page is the next row
+                        continue
                     payload = html.encode("utf-8")
-                    out.write(page_record(page, key, url, payload, to if to is not None and len(payload) >= least else None, sha1(payload)))
+                    out.write(page_record(page, key, url, payload, linked.get(key) if len(payload) >= least else None, sha1(payload)))
                     n += 1
-            file = f"{path}/pages-{part:06d}-{seq:05d}.warc.gz"
-            put_bytes(file, out.getvalue())
-            yield pa.record_batch([pa.array([file]), pa.array([n], pa.int64()), pa.array([out.tell()], pa.int64())], names=["file", "n_records", "n_bytes"])
-
-    rows = df.join(links, KEY, "left").select("page", "html", KEY, "url", "to").repartitionByRange("page").sortWithinPartitions("page", KEY)
+            if n:
+                file = f"{path}/pages-{part:06d}-{seq:05d}.warc.gz"
+                put_bytes(file, out.getvalue())
+                yield pa.record_batch([pa.array([file]), pa.array([n], pa.int64()), pa.array([out.tell()], pa.int64())], names=["file", "n_records", "n_bytes"])
+
+    # A link comes to its page by the same sort, not by a join, so the html is shuffled once.
+    rows = df.withColumn("to", F.lit(None).cast("long")).union(links)
+    rows = rows.repartitionByRange("page").sortWithinPartitions("page", KEY, F.col("html").isNotNull())
     return written(rows.mapInArrow(run, "file string, n_records long, n_bytes long"), "warc-manifest")
 
 
@@ -177,7 +184,7 @@ def read_warc(manifest: DataFrame) -> DataFrame:
                 page, _, size, digest, kind, to = zip(*rows, strict=True)
                 yield pa.record_batch([pa.array(page, pa.int64()), pa.array(size, pa.int64()), pa.array(digest), pa.array(kind), pa.array(to, pa.int64())], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return manifest.select("file").repartition(F.col("file")).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return manifest.select("file").repartition(max(1, manifest.count()), "file").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def warc_round_trip(pages: DataFrame, **columns) -> DataFrame:
