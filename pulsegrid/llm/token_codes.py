@@ -260,7 +260,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                     sums += [zlib.crc32(raw[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(bounds[:-1] + base), pa.array(np.diff(bounds)), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("file", "base").repartition(F.col("file")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("file", "base").repartition(max(1, manifest.count()), "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, vocabulary: str, pattern: str, **columns) -> DataFrame:
