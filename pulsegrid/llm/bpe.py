@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, blocks, get_bytes, picked, put_bytes, scratch, starts_of
+from .common import KEY, blocks, get_bytes, picked, put_bytes, scratch, starts_of, trim
 from .token_codes import coded, ragged, splitter
 
 #: Bytes of text in a stretch, and pre-tokens that are put together at a time.
@@ -110,6 +110,8 @@ def _stretches(folder: str, pattern: str, buckets: int):
                 own = sorted(np.flatnonzero(bucket == b).tolist(), key=raw.__getitem__)
                 rows.append((b, pack_words([raw[k] for k in own], slot[own])))
             yield pa.record_batch([pa.array([b for b, _ in rows], pa.int32()), pa.array([name] * len(rows)), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "stretch", "words"])
+            del words, codes, raw, rows, block
+            trim()
 
     return run
 
@@ -135,6 +137,8 @@ def _encoded(shared, pattern: str):
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids))
                 flat = np.fromiter((i for x in ids for i in x), np.int64, int(sizes.sum()))
                 yield pa.record_batch([pa.array([stretch]), pa.array([pack(slots, sizes, flat)], pa.binary())], names=["stretch", "ids"])
+        del known
+        trim()
 
     return run
 
@@ -153,6 +157,8 @@ def _assembled(table: pa.Table) -> pa.Table:
     per_piece = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
     ends = starts_of(per_piece)[starts_of(docs.column("n").to_numpy())]
     ids = pa.array(np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int32))
+    del parts, codes, flat, slots, data
+    trim()
     return pa.table({"doc_id": docs.column("id"), KEY: docs.column("key"), "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), ids)})
 
 
@@ -197,6 +203,8 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") ->
                 cuts = sizes[starts_of(lengths)].tolist()
                 out = [body[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.record_batch([*part.columns[:-1], pa.array(out, pa.binary())], names=[*part.schema.names[:-1], "decoded"])
+                del out, body, pieces, flat, lists
+            trim()
 
     from pyspark.sql import types as T
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -112,6 +114,13 @@ def blocks(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterat
         yield pa.Table.from_batches(held)
 
 
+def trim() -> None:
+    """Gives memory that a worker no longer uses back to the system; workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def starts_of(lengths: np.ndarray) -> np.ndarray:
     """Where each of consecutive runs starts, and the end of the last."""
     out = np.zeros(len(lengths) + 1, np.int64)

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, OWN, chunks, components, keyed, picked, starts_of, written
+from .common import KEY, OWN, chunks, components, keyed, picked, starts_of, trim, written
 from .features import GOLD, hashed, mixed
 
 #: Words of a shingle, similarity of a link.
@@ -105,6 +105,7 @@ def profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         h = mixed(h + rows[:, j])
                     bands.append(h.view(np.int64))
                 yield pa.record_batch([part.column(0), part.column(2), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "key", "set", "bands"])
+            trim()
 
     return picked(docs, id_col, text_col).mapInArrow(run, "id long, key long, set binary, bands array<long>")
 
@@ -221,6 +222,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             for part in chunks(batch, 1, 4 << 20):
                 values, bounds = shingles(part.column(1))
                 yield pa.record_batch([part.column(0), pa.array([values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["rep", "shingles"])
+            trim()
 
     return docs.select("rep", "text").mapInArrow(run, "rep long, shingles binary")
 

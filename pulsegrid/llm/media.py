@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, chunks, picked, written
+from .common import KEY, chunks, picked, trim, written
 
 #: Samples in a row of the stored image.
 WIDTH = 64
@@ -182,6 +182,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     pages.append(f'<figure><img src="media:{digest[:16]}.pgm" data-sha256="{digest}"><figcaption>{markup.escape(f"document {doc}")}</figcaption></figure>')
                     media.append(pgm(payload) if fresh else None)
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(pages), pa.array(names), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", KEY, "html", "digest", "n_bytes", "media"])
+            trim()
 
     table = written(picked(docs, id_col, text_col).mapInArrow(run, f"doc_id long, {KEY} long, html string, digest string, n_bytes long, media binary"), "media")
     return table.select("doc_id", KEY, "html"), table.where("media is not null").select("digest", "n_bytes", "media")

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, chunks, picked, starts_of, sums_of
+from .common import KEY, chunks, picked, starts_of, sums_of, trim
 from .features import GOLD, hashed, held_out, mixed, sample, tokens
 
 #: Labelled documents that a model is fitted on, at most.
@@ -75,7 +75,7 @@ def features(texts: pa.Array, keep: np.ndarray | None = None) -> tuple[np.ndarra
 def descend(at: np.ndarray, values: np.ndarray, bounds: np.ndarray, y: np.ndarray, cost: np.ndarray, size: int, passes: int = PASSES, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias of the hinge-loss model: dual coordinate descent, a row at a time in random order."""
     w, bias, dual = np.zeros(size), 0.0, np.zeros(len(y))
-    norms = sums_of(values * values, bounds) + 1
+    norms = sums_of(values[: bounds[-1]] ** 2, bounds) + 1
     random = np.random.default_rng(seed)
     for _ in range(passes):
         most = 0.0
@@ -111,31 +111,31 @@ def sigmoid_of(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(rows: list[tuple[str, int]]) -> Model:
     """Fits on four fifths of the rows and the score's sigmoid on the rest. Without five rows of each label every text gets the share of label 1, or 0.5."""
-    y = np.array([r[1] for r in rows], np.int64)
+    rows = [r for k, r in enumerate(rows) if k % 5 != 4] + rows[4::5]
+    y, fitted = np.array([r[1] for r in rows], np.int64), len(rows) - len(rows) // 5
     if min(np.bincount(y, minlength=2)[:2], default=0) < 5:
         p = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
         return Model(np.zeros(ROWS, np.float32), 0.0, 1.0, float(np.log(p / (1 - p))))
     parts = [features(pa.array([t for t, _ in rows[k : k + 250]], pa.string())) for k in range(0, len(rows), 250)]
-    at, bounds = np.concatenate([p[0] for p in parts]), starts_of(np.concatenate([np.diff(p[1]) for p in parts]))
-    owner = np.repeat(np.arange(len(y)), np.diff(bounds))
+    at, bounds = np.concatenate([p[0].astype(np.int32) for p in parts]), starts_of(np.concatenate([np.diff(p[1]) for p in parts]))
+    del parts
     known = np.bincount(at, minlength=ROWS) >= 3
     on = known[at]
-    at, owner = at[on], owner[on]
-    bounds = starts_of(np.bincount(owner, minlength=len(y)))
-    tried = np.arange(len(y)) % 5 == 4
-    good = [np.bincount(at[(y[owner] == k) & ~tried[owner]], minlength=ROWS) + ALPHA for k in (0, 1)]
-    ratio = np.log(good[1] / (((y == 1) & ~tried).sum() + 2 * ALPHA)) - np.log(good[0] / (((y == 0) & ~tried).sum() + 2 * ALPHA))
+    bounds = starts_of(on.astype(np.int64))[bounds]
+    at = at[on]
+    good = []
+    for k in (0, 1):
+        own = np.repeat(y[:fitted] == k, np.diff(bounds[: fitted + 1]))
+        good.append(np.bincount(at[: bounds[fitted]][own], minlength=ROWS) + ALPHA)
+    ratio = np.log(good[1] / ((y[:fitted] == 1).sum() + 2 * ALPHA)) - np.log(good[0] / ((y[:fitted] == 0).sum() + 2 * ALPHA))
     ratio[~known] = 0
-    values = ratio[at] / np.sqrt(np.maximum(np.diff(bounds), 1))[owner]
-    pick = np.flatnonzero(~tried)
+    values = (ratio[at] / np.repeat(np.sqrt(np.maximum(np.diff(bounds), 1)), np.diff(bounds))).astype(np.float32)
     cost = np.where(y == 1, COST * len(y) / (2 * y.sum()), COST * len(y) / (2 * (len(y) - y.sum())))
-    cuts = [np.arange(bounds[i], bounds[i + 1]) for i in pick]
-    take, inner = np.concatenate(cuts), starts_of(np.array([len(c) for c in cuts]))
-    w, bias = descend(at[take], values[take], inner, np.where(y[pick] == 1, 1.0, -1.0), cost[pick], ROWS)
-    margin = sums_of(w[at] * values, bounds) + bias
+    w, bias = descend(at, values, bounds[: fitted + 1], np.where(y[:fitted] == 1, 1.0, -1.0), cost, ROWS)
+    margin = (sums_of(w[at] * values, bounds) + bias)[fitted:]
     rows = w * ratio
     rows[known & (rows == 0)] = 1e-20  # known features count in the norm
-    return Model(rows.astype(np.float32), bias, *sigmoid_of(margin[tried], y[tried]))
+    return Model(rows.astype(np.float32), bias, *sigmoid_of(margin, y[fitted:]))
 
 
 def scores(model: Model, texts: pa.Array) -> np.ndarray:
@@ -147,7 +147,9 @@ def scores(model: Model, texts: pa.Array) -> np.ndarray:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model of at most ``bound`` labelled documents whose id's crc32 mod 5 isn't 0."""
-    return fit(sample(docs, labels, "quality", bound, held_out(F.col("doc_id"), 5, 0), id_col, text_col))
+    model = fit(sample(docs, labels, "quality", bound, held_out(F.col("doc_id"), 5, 0), id_col, text_col))
+    trim()
+    return model
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,8 +162,9 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for part in chunks(batch, 1, 4 << 20):
+            for part in chunks(batch, 1, 2 << 20):
                 yield pa.record_batch([part.column(0), part.column(2), pa.array(scores(shared.value, part.column(1)))], names=["doc_id", KEY, "score"])
+            trim()
 
     found = picked(docs, id_col, text_col).mapInArrow(run, f"doc_id long, {KEY} long, score double")
     return found.select("doc_id", KEY, held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).cast("int").alias("predicted"))

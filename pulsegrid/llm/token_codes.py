@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import OWN, blocks, get_bytes, picked, put_bytes, scratch, starts_of, written
+from .common import OWN, blocks, get_bytes, picked, put_bytes, scratch, starts_of, trim, written
 
 MAGIC = b"PGDAC001"
 #: Tokens after which a new file begins.
@@ -225,6 +225,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, pattern: str, id_c
             seq += 1
             for x in (doc_ids, lengths, held):
                 x.clear()
+            trim()
             return row
 
         for block in blocks(batches, 1, BLOCK_BYTES):

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, chunks, picked, starts_of, sums_of
+from .common import KEY, chunks, picked, starts_of, sums_of, trim
 from .features import GOLD, held_out, mixed, sample, tokens
 
 #: Labelled documents that a model is fitted on, at most.
@@ -120,21 +120,25 @@ def fit(rows: list[tuple[str, int]], seed: int = 7) -> Model:
     if min(labels.sum(), len(labels) - labels.sum()) < 5:
         p = float(np.clip(labels.mean(), 0.01, 0.99)) if len(labels) else 0.5
         return Model(np.zeros(ROWS, np.float32), float(np.log(p / (1 - p))))
-    parts, good, bad = [], np.zeros(ROWS), np.zeros(ROWS)
+    ats, weights, lengths, passes, good, bad = [], [], [], [], np.zeros(ROWS), np.zeros(ROWS)
     for k in range(0, len(rows), 250):
         at, weight, bounds, counts = bags(pa.array([t for t, _ in rows[k : k + 250]], pa.string()))
         once = np.unique(np.repeat(np.repeat(np.arange(len(counts)), counts), np.diff(bounds)) * ROWS + at)
         positive = labels[k : k + 250][once // ROWS] > 0
         good += np.bincount((once % ROWS)[~positive], minlength=ROWS)
         bad += np.bincount((once % ROWS)[positive], minlength=ROWS)
-        parts.append((at, weight, np.diff(bounds), counts))
-    at, weight, sizes, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
+        for held, new in ((ats, at), (weights, weight), (lengths, np.diff(bounds)), (passes, counts)):
+            held.append(new)
+    at = np.concatenate(ats)
+    ats.clear()
+    weight = np.concatenate(weights)
+    weights.clear()
+    sizes, counts = np.concatenate(lengths), np.concatenate(passes)
     text, y, bounds = np.repeat(np.arange(len(labels)), counts), np.repeat(labels, counts), starts_of(sizes)
     known = good + bad >= max(3, len(labels) * LEAST // SAMPLE)
     weight *= known[at]
     cuts = [*range(0, len(y), 2000), len(y)]
-    stretches = [(a, b, bounds[a], bounds[b], np.repeat(np.arange(b - a, dtype=np.int32), sizes[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    stretches = [(a, b, bounds[a], bounds[b], np.repeat(np.arange(b - a, dtype=np.int16), sizes[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def margins(each: np.ndarray) -> np.ndarray:
         return np.concatenate([np.bincount(own, each[at[i:j]] * weight[i:j], b - a) for a, b, i, j, own in stretches])
@@ -225,7 +229,9 @@ def scores(model: Model, texts: pa.Array) -> np.ndarray:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model of at most ``bound`` labelled documents whose id's crc32 mod 3 isn't 1."""
-    return fit(sample(docs, labels, "toxic", bound, held_out(F.col("doc_id"), 3, 1), id_col, text_col))
+    model = fit(sample(docs, labels, "toxic", bound, held_out(F.col("doc_id"), 3, 1), id_col, text_col))
+    trim()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,8 +244,9 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for part in chunks(batch, 1, 4 << 20):
+            for part in chunks(batch, 1, 2 << 20):
                 yield pa.record_batch([part.column(0), part.column(2), pa.array(scores(shared.value, part.column(1)))], names=["doc_id", KEY, "score"])
+            trim()
 
     found = picked(docs, id_col, text_col).mapInArrow(run, f"doc_id long, {KEY} long, score double")
     return found.select("doc_id", KEY, held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).cast("int").alias("predicted"))
