@@ -1 +1,3 @@
 """All queries of the engine; importing it registers them."""
+from . import time_queries  # noqa: F401
+from . import feature_queries  # noqa: F401
