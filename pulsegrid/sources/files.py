@@ -28,9 +28,9 @@ def read_case_folders(spark: SparkSession, root: str, file: str = "simple_data.c
     parts = [F.regexp_extract("f", r"/([^/]+)_([^_/]+)/([^/]+)/[^/]+$", k).alias(n) for k, n in ((1, "service"), (2, "fault"), (3, "run"))]
     text = spark.read.option("recursiveFileLookup", True)
     rows = text.option("pathGlobFilter", file).text(root, wholetext=True).select("value", F.col("_metadata.file_path").alias("f")).select("value", *parts)
-    times = text.option("pathGlobFilter", side).text(root, wholetext=True).select("value", F.col("_metadata.file_path").alias("f")).select(F.trim("value").cast("long").alias("inject_time"), *parts)
+    times = text.option("pathGlobFilter", side).text(root, wholetext=True).select("value", F.col("_metadata.file_path").alias("f")).select(F.regexp_replace("value", r"\s", "").cast("long").alias("inject_time"), *parts)
     keys = ["service", "fault", "run"]
-    lines = rows.select(*keys, F.split(F.regexp_replace(F.trim("value"), "\r", ""), "\n").alias("l"))
+    lines = rows.select(*keys, F.split(F.regexp_replace("value", r"\s+$|\r", ""), "\n").alias("l"))
     cells = lines.select(*keys, F.split(F.col("l")[0], ",").alias("h"), F.explode(F.slice("l", 2, F.greatest(F.lit(0), F.size("l") - 1))).alias("line"))
     cells = cells.select(*keys, F.arrays_zip("h", F.split("line", ",").alias("v")).alias("z"))
     long = cells.select(*keys, F.element_at(F.filter("z", lambda x: x["h"] == "time"), 1)["v"].cast("long").alias("time"), F.explode(F.filter("z", lambda x: x["h"] != "time")).alias("c"))
