@@ -3,3 +3,4 @@ from . import time_queries  # noqa: F401
 from . import feature_queries  # noqa: F401
 from . import table_queries  # noqa: F401
 from . import stream_queries  # noqa: F401
+from . import check_queries  # noqa: F401
