@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,16 +72,33 @@ def get_bytes(uri: str) -> bytes:
 
 
 def _only_reads(plan) -> bool:
-    """Whether a plan does nothing but read, select and filter stored rows, so that each reading numbers them alike."""
+    """Whether a plan does nothing but read, select and filter stored rows."""
     if plan.nodeName() not in ("Project", "Filter", "LogicalRelation", "Relation", "View", "SubqueryAlias"):
         return False
     return all(_only_reads(plan.children().apply(k)) for k in range(plan.children().size()))
 
 
+def _placed(df: DataFrame) -> DataFrame | None:
+    """``df`` keyed by file and row in it, files in the order of their paths; None where the reader gives no row numbers."""
+    spark, path, place = df.sparkSession, OWN + "path", OWN + "place"
+    try:
+        meta = df.metadataColumn("_metadata")
+        rows = df.select("*", meta["file_path"].alias(path), meta["row_index"].alias(KEY))
+    except AnalysisException:
+        return None
+    files = sorted(set(df.inputFiles()))
+    if not files or len(files) >= 1 << 23:
+        return None
+    names = [(k, n) for k, f in enumerate(files) for n in {f, re.sub(r"^([^:/]+):///", r"\1:/", f)}]  # the reader may leave out an empty host
+    order = spark.range(0, 1, 1, 1).select(F.explode(F.arrays_zip(F.lit([k for k, _ in names]).alias(place), F.lit([n for _, n in names]).alias(path))).alias("f")).select("f.*")
+    known = F.coalesce(F.col(place).cast("long"), F.raise_error(F.concat(F.lit("a file that wasn't listed: "), F.col(path))).cast("long"))
+    return rows.join(F.broadcast(order), path, "left").withColumn(KEY, F.shiftleft(known, 40) + F.col(KEY)).drop(path, place)
+
+
 def keyed(df: DataFrame) -> DataFrame:
-    """``df`` with a row key, the same at each reading; rows that aren't read straight from a table are stored first."""
-    stored = df if _only_reads(df._jdf.queryExecution().analyzed()) else written(df, "rows")
-    return stored.withColumn(KEY, F.monotonically_increasing_id())
+    """``df`` with a row key, the same at each reading, however the scan is split; rows that aren't read straight from Parquet files are stored with it."""
+    placed = _placed(df) if _only_reads(df._jdf.queryExecution().analyzed()) else None
+    return written(df.withColumn(KEY, F.monotonically_increasing_id()), "rows") if placed is None else placed
 
 
 def picked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

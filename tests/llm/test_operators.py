@@ -10,6 +10,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -47,6 +48,28 @@ def rows_of(*frames):
         yield f, [(r.doc_id, r.text or "", r.source) for r in f.collect()]
 
 
+def test_keys_are_the_same_however_the_scan_is_split(spark, tmp_path):
+    pq.write_table(pa.table({"doc_id": range(8000), "text": [f"text {k}" for k in range(8000)]}), tmp_path / "b é%.parquet", row_group_size=200)
+    pq.write_table(pa.table({"doc_id": range(8000, 9000), "text": ["x"] * 1000}), tmp_path / "c.parquet", row_group_size=100)
+    table = spark.read.parquet(str(tmp_path))
+    table.createOrReplaceTempView("key_rows")
+    for frame in (table, table.where("doc_id % 3 = 0").select("text", "doc_id"), spark.table("key_rows"), table.orderBy("doc_id")):
+        rows, seen, splits = common.keyed(frame), [], set()
+        for n in (1, 13):
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", n)
+            spark.conf.set("spark.sql.files.openCostInBytes", 1)
+            try:
+                again = rows.select("*")
+                splits.add(again.rdd.getNumPartitions())
+                seen.append({r[common.KEY]: r.doc_id for r in again.collect()})
+            finally:
+                spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+                spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert seen[0] == seen[1] and sorted(seen[0].values()) == sorted(r.doc_id for r in frame.collect())
+        if frame is table:
+            assert len(splits) == 2 and [seen[0][k] for k in sorted(seen[0])] == list(range(9000))
+
+
 def test_dedup(docs, odd, empty):
     for frame, rows in rows_of(docs, odd):
         groups = defaultdict(list)
