@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pulsegrid.streaming import minutes
 
@@ -14,12 +16,14 @@ from .views import table
 
 @query("stream_replay")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    """Events replayed as a stream, an entity for each type; the result of a stream that has run to its end."""
+    """Events replayed as a stream, an entity for each type; the result of a stream that has run to its end, incidents still open included."""
     schema = table(spark, sf, "events").schema
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
     stream = spark.readStream.schema(ddl).option("pathGlobFilter", "events.parquet").parquet(sf) if not sf.startswith("viewfs") else spark.readStream.schema(ddl).parquet(f"{sf}/events.parquet")
     rows = stream.selectExpr("event_type as entity", "timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts) as t", "value as score")
     name = f"pulsegrid_replay_{uuid.uuid4().hex[:8]}"
-    run = minutes.minute_alerts(rows, 100.0).writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
+    state = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.gettempdir()}/{name}"
+    run = minutes.minute_alerts(rows, 100.0).writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", state).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    closed = spark.table(name).withColumn("may_continue", F.when(F.col("kind") == "incident", False))
+    return closed.union(minutes.open_incidents(spark, state))

@@ -2,7 +2,8 @@
 
 State per entity: the last minute, the scores within the rolling width, and the open incident. A minute that isn't after the last one is
 rejected. An incident closes when a minute arrives at least ``GAP`` seconds after its last alert; one of a single alert is dropped,
-as in batch. Rows carry ``kind``: score, rejected or incident. An incident that is still open is in the state only.
+as in batch. Rows carry ``kind``: score, rejected or incident. An incident that is still open is in the state only, where
+``open_incidents`` reads it once the stream has ended.
 """
 
 from __future__ import annotations
@@ -55,6 +56,17 @@ def minute_alerts(stream: DataFrame, threshold: float, width: int = WIDTH, gap:
     return clean.groupBy("entity").applyInPandasWithState(run, OUT, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
+def open_incidents(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The incidents that the stream of ``minute_alerts`` with this checkpoint left open, in its columns and ``may_continue``: whether the last minute is an alert.
+
+    One of a single alert is dropped, as are closed ones.
+    """
+    held = spark.read.format("statestore").load(checkpoint).select(F.col("key.entity").alias("entity"), F.from_json("value.groupState.state", "last long, open array<long>").alias("s"))
+    first, last = F.col("s.open")[0], F.col("s.open")[1]
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("score", "double"), ("rolled", "double"), ("alert", "boolean"))]
+    return held.where(first < last).select("entity", F.lit("incident").alias("kind"), first.alias("t"), last.alias("end_t"), *none, (last == F.col("s.last")).alias("may_continue"))
+
+
 def replay(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 1) -> DataFrame:
     """Stored minutes as a stream, some files at a time in the order of their times of change."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)

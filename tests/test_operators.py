@@ -161,6 +161,21 @@ def test_stream_equals_one_pass_and_keeps_state(spark, tmp_path):
     assert got == sorted(map(repr, minutes.step({"last": None, "recent": [], "open": None}, [(t, s) for _, t, s in rows], 0.5)))
 
 
+def test_replay_gives_out_open_incidents(spark):
+    from pulsegrid.operators import intervals
+    from pulsegrid.plans import registry
+
+    out = registry.queries()["stream_replay"](spark, "/root/testdata/sf0.1").cache()
+    last = {r.entity: r.t for r in out.where("kind = 'score'").groupBy("entity").agg(F.max("t").alias("t")).collect()}
+    want = set()
+    for e in last:
+        want |= {(e, r.start_t, r.end_t, r.end_t == last[e]) for r in intervals.alert_intervals(out.where((F.col("entity") == e) & F.col("alert")).select("t")).collect()}
+    got = [(r.entity, r.t, r.end_t, r.may_continue) for r in out.where("kind = 'incident'").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert {g[:3] for g in got} >= {("view", 1706657878, 1706658958), ("purchase", 1706658747, 1706659112)}
+    assert out.where("kind <> 'incident' and may_continue is not null").isEmpty()
+
+
 def test_predictor_is_vectorised(spark):
     df = spark.createDataFrame([([1.0, 2.0],), (None,)], "x array<double>")
     assert [r[0] for r in df.select(models.predictor(lambda m: m * 2)(F.col("x"))).collect()] == [[2.0, 4.0], None]
