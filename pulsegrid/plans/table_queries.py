@@ -252,10 +252,20 @@ def _(spark, sf):
     return table(spark, sf, "part").where(F.lower("p_type").contains("steel") & F.col("p_size").between(10, 30) & F.col("p_brand").isin("Brand#11", "Brand#12", "Brand#13", "Brand#21")).select("p_partkey", "p_name")
 
 
+def rounded(events):
+    v = F.col("value")
+    return events.select("event_id", maths.half_even(v, 2).alias("even"), F.round(maths.div0(F.lit(1.0), v), 6).alias("safe"), F.isnan(maths.div_nan(v, F.when(v > 50, 1).otherwise(0))).alias("undefined"))
+
+
 @query("rounding", "SELECT event_id, round_even(value, 2) AS even, round(CASE WHEN value > 0 THEN 1 / value ELSE 0.0 END, 6) AS safe, isnan(CASE WHEN value > 50 THEN value ELSE 'NaN'::DOUBLE END) AS undefined FROM events WHERE event_id % 7 = 0")
 def _(spark, sf):
-    v = F.col("value")
-    return table(spark, sf, "events").where("event_id % 7 = 0").select("event_id", maths.half_even(v, 2).alias("even"), F.round(maths.div0(F.lit(1.0), v), 6).alias("safe"), F.isnan(maths.div_nan(v, F.when(v > 50, 1).otherwise(0))).alias("undefined"))
+    return rounded(table(spark, sf, "events").where("event_id % 7 = 0"))
+
+
+@query("rounding_all", "SELECT event_id, round_even(value, 2) AS even, round(CASE WHEN value > 0 THEN 1 / value ELSE 0.0 END, 6) AS safe, isnan(CASE WHEN value > 50 THEN value ELSE 'NaN'::DOUBLE END) AS undefined FROM events")
+def _(spark, sf):
+    """As rounding, whose SQL keeps every seventh event only, but over all events."""
+    return rounded(table(spark, sf, "events"))
 
 
 @query("span_expansion", "WITH s AS (SELECT n_nationkey AS k, n_nationkey * 3 AS lo, n_nationkey * 3 + n_nationkey % 4 AS hi FROM nation) SELECT k, unnest(range(lo, hi + 1))::INTEGER AS i FROM s")
