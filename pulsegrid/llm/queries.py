@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, jaccard_join, license_scan, media, mixing, quality, token_codes, toxicity, warc
 
@@ -57,7 +58,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "position", "again")
+    plan = mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "position", "again")
+    order = [F.asc_nulls_last("position"), "doc_id"]
+    return plan.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

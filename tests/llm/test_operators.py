@@ -405,6 +405,11 @@ def test_mixed_order(docs):
     assert {k: v for k, v in copies.items() if v} == got
 
 
+def test_mixing_query_is_in_order_of_position(spark, small):
+    got = [(r.position is None, r.position or 0, r.doc_id) for r in queries.op10_mixing(spark, small).collect()]
+    assert got == sorted(got) and len({g[1] for g in got}) > 50
+
+
 def test_positions_invert_the_demand():
     for s in (0.5, -0.5):
         for t in (0.0, 0.2, 0.77, 1.0):
