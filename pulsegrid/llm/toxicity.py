@@ -1,6 +1,7 @@
 """Toxicity by subword bags: a passage is the average of its words' vectors, a word the average of the vectors of its character
 n-grams and of itself; a linear softmax over that average is trained jointly with the vectors, so an unseen misspelling shares
-most vectors with the word it comes from. A text has the score of its highest passage, so length doesn't thin out what it says.
+most vectors with the word it comes from. A text has the score of its highest passage, so length doesn't thin out what it says,
+less what the highest of so many passages has by chance.
 """
 
 from __future__ import annotations
@@ -20,21 +21,24 @@ from .features import GOLD, held_out, mixed, sample, tokens
 #: Labelled documents that a model is fitted on, at most.
 SAMPLE = 4_000
 #: Words of a passage at most; lengths of the n-grams, hashed rows of the embedding table, and its width.
-PASSAGE, GRAMS, ROWS, WIDTH = 40, (4, 5), 1 << 17, 4
+PASSAGE, GRAMS, ROWS, WIDTH = 40, (4, 5, 6), 1 << 17, 4
 #: Rounds of each half of the fit, how much more a positive row counts; and the factor of the average before the softmax, and decay.
 #: The vectors start from the log ratio of a row's document shares in the classes, in one dimension, and small noise in the others.
 FIRST, ROUNDS, POSITIVE, SCALE, DECAY = 8, 15, 1.0, 100.0, 1e-4
-#: Documents of a full sample that a table row has to be in, in proportion for a smaller one, and at least 3; others stay 0, as do rows that the sample lacks.
-LEAST = 8
+#: Sampled documents that a table row has to be in at least; others stay 0, as do rows that the sample lacks.
+LEAST = 3
+#: Distinct words that a passage's average counts at least, so that one word which a passage repeats isn't taken for all of it.
+EVIDENCE = 12
 #: Score from which a text counts as toxic.
 THRESHOLD = 0.7
 
 
 class Model(NamedTuple):
-    """What scoring needs: each table row's part of the log odds, the bias, and the score where nothing was learnt."""
+    """What scoring needs: each table row's part of the log odds, the bias, and what the log of the number of passages adds."""
 
     rows: np.ndarray
     bias: float
+    length: float = 0.0
 
 
 def gram_rows(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,43 +82,56 @@ def passages(bounds: np.ndarray, most: int | None = None) -> tuple[np.ndarray, n
 
 
 def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, weights and bounds of each passage's bag, the mean over its words of the mean over a word's table rows; and passages per text."""
+    """Rows, weights and bounds of each passage's bag, the mean over its distinct words of the mean over a word's table rows; and passages per text."""
     words, codes, bounds = tokens(texts, lower=True)
     rows, starts = gram_rows(words)
     bounds, parts = passages(bounds)
     out_rows, out_weights, sizes = [], [], []
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        distinct, times = np.unique(codes[a:b], return_counts=True)
+        distinct = np.unique(codes[a:b])
         lengths = starts[distinct + 1] - starts[distinct]
         ends = np.cumsum(lengths)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[distinct] - (ends - lengths), lengths)
         found, place = np.unique(rows[at], return_inverse=True)
         out_rows.append(found.astype(np.int32))
-        out_weights.append(np.bincount(place, np.repeat(SCALE * times / lengths / max(1, b - a), lengths), len(found)).astype(np.float32))
+        out_weights.append(np.bincount(place, np.repeat(SCALE / lengths / max(EVIDENCE, len(distinct)), lengths), len(found)).astype(np.float32))
         sizes.append(len(found))
     return np.concatenate([*out_rows, np.zeros(0, np.int32)]), np.concatenate([*out_weights, np.zeros(0, np.float32)]), starts_of(np.array(sizes, np.int64)), np.diff(parts)
 
 
-def sigmoid_of(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic model of one number, by damped Newton steps on its standardised form."""
-    mid, wide = margin.mean(), margin.std() + 1e-9
-    x, (a, b) = (margin - mid) / wide, (1.0, 0.0)
+def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Coefficients of the columns of ``x``, and the offset, of the logistic model of ``y``, by damped Newton steps on standardised columns."""
+    mid, wide = x.mean(0), x.std(0) + 1e-9
+    a = np.column_stack([(x - mid) / wide, np.ones(len(x))])
+    c, ridge = np.r_[1.0, np.zeros(x.shape[1])], np.r_[np.full(x.shape[1], 1e-2), 1e-3]
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        v, r = p * (1 - p) + 1e-6, p - y
-        h = np.array([[(v * x * x).sum() + 1, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-3]])
-        da, db = np.linalg.solve(h, np.array([(r * x).sum() + a, r.sum()]))
-        a, b = a - np.clip(da, -1, 1), b - np.clip(db, -1, 1)
-        if abs(da) + abs(db) < 1e-6:
+        p = 1 / (1 + np.exp(-np.clip(a @ c, -30, 30)))
+        step = np.linalg.solve((a * (p * (1 - p) + 1e-6)[:, None]).T @ a + np.diag(ridge), a.T @ (p - y) + np.r_[ridge[:-1], 0] * c)
+        c = c - np.clip(step, -1, 1)
+        if np.abs(step).sum() < 1e-6:
             break
-    return a / wide, b - a * mid / wide
+    c[:-1] /= wide
+    c[-1] -= c[:-1] @ mid
+    return c
+
+
+def joined(parts: list[np.ndarray], kind) -> np.ndarray:
+    """The arrays one after another; each is freed once it is copied, so memory holds them once."""
+    out, at = np.empty(sum(map(len, parts)), kind), 0
+    parts.reverse()
+    while parts:
+        part = parts.pop()
+        out[at : at + len(part)] = part
+        at += len(part)
+    return out
 
 
 def fit(rows: list[tuple[str, int]], seed: int = 7) -> Model:
     """Trains embeddings and softmax jointly by L-BFGS, on passages. Without five texts of each label the model gives every text the share of label 1, or 0.5.
 
-    At first each passage has its text's label. Half way, the passages of a positive text that score below one half are left out,
-    but for its highest: they are its clean parts.
+    At first each passage has its text's label. After ``FIRST`` rounds, the passages of a positive text that score below one half are
+    left out, but for its highest: they are its clean parts. The score of a text is a logistic model of its highest passage and of
+    the log of their number.
     """
     labels = np.array([r[1] for r in rows], np.float64)
     if min(labels.sum(), len(labels) - labels.sum()) < 5:
@@ -129,29 +146,27 @@ def fit(rows: list[tuple[str, int]], seed: int = 7) -> Model:
         bad += np.bincount((once % ROWS)[positive], minlength=ROWS)
         for held, new in ((ats, at), (weights, weight), (lengths, np.diff(bounds)), (passes, counts)):
             held.append(new)
-    at = np.concatenate(ats)
-    ats.clear()
-    weight = np.concatenate(weights)
-    weights.clear()
+    at, weight = joined(ats, np.int32), joined(weights, np.float16)
     sizes, counts = np.concatenate(lengths), np.concatenate(passes)
     text, y, bounds = np.repeat(np.arange(len(labels)), counts), np.repeat(labels, counts), starts_of(sizes)
-    known = good + bad >= max(3, len(labels) * LEAST // SAMPLE)
-    weight *= known[at]
-    cuts = [*range(0, len(y), 2000), len(y)]
-    stretches = [(a, b, bounds[a], bounds[b], np.repeat(np.arange(b - a, dtype=np.int16), sizes[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    known = good + bad >= LEAST
+    for k in range(0, len(at), 1 << 20):
+        weight[k : k + (1 << 20)] *= known[at[k : k + (1 << 20)]]
+    cuts = [*range(0, len(y), 1000), len(y)]
+    stretches = [(a, b, bounds[a], bounds[b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def margins(each: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.bincount(own, each[at[i:j]] * weight[i:j], b - a) for a, b, i, j, own in stretches])
+        return np.concatenate([sums_of(each[at[i:j]] * weight[i:j], bounds[a : b + 1] - i) for a, b, i, j in stretches])
 
     def gathered(miss: np.ndarray) -> np.ndarray:
-        return sum(np.bincount(at[i:j], weight[i:j] * miss[a:b][own], ROWS) for a, b, i, j, own in stretches)
+        return sum(np.bincount(at[i:j], weight[i:j] * np.repeat(miss[a:b], sizes[a:b]), ROWS) for a, b, i, j in stretches)
 
     random = np.random.default_rng(seed)
     table, out = random.normal(0, 0.01, (ROWS, WIDTH)), random.normal(0, 0.01, (WIDTH, 2))
     ratio = np.log((bad + 0.5) / (labels.sum() + 1)) - np.log((good + 0.5) / (len(labels) - labels.sum() + 1))
     table[:, 0] += np.sign(ratio) * np.maximum(0, np.abs(ratio) - 2 * np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5)))
     table[~known] = 0
-    slope, offset = sigmoid_of(margins(table[:, 0]), y)
+    slope, offset = logistic(margins(table[:, 0])[:, None], y)
     scale = np.sqrt(abs(slope))
     table[:, 0] *= scale
     out[0] += [-slope / scale / 2, slope / scale / 2]
@@ -177,9 +192,9 @@ def fit(rows: list[tuple[str, int]], seed: int = 7) -> Model:
         top = np.full(len(labels), -np.inf)
         np.maximum.at(top, text, z)
         share[(y > 0) & (z < 0) & (z < top[text])] = 0
-    slope, offset = sigmoid_of(top, labels)  # of texts, by their highest passages
+    slope, length, offset = logistic(np.column_stack([top, np.log(counts)]), labels)
     offset += np.log((len(labels) - labels.sum()) / labels.sum())  # as likely as if both labels were as frequent
-    return Model((slope * SCALE * each).astype(np.float32), float(slope * (x[-1] - x[-2]) + offset))
+    return Model((slope * SCALE * each).astype(np.float32), float(slope * (x[-1] - x[-2]) + offset), float(length))
 
 
 def lbfgs(loss, x: np.ndarray, rounds: int, memory: int = 6) -> np.ndarray:
@@ -222,8 +237,10 @@ def scores(model: Model, texts: pa.Array) -> np.ndarray:
     rows, starts = gram_rows(words)
     each = sums_of(model.rows[rows], starts) / np.maximum(np.diff(starts), 1)
     bounds, parts = passages(bounds)
-    z = sums_of(each[codes], bounds) / np.maximum(np.diff(bounds), 1) + model.bias
-    top = np.maximum.reduceat(z, parts[:-1]) if len(texts) else z
+    spot = np.unique(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) * max(1, len(words)) + codes)
+    inside = starts_of(np.bincount(spot // max(1, len(words)), minlength=len(bounds) - 1))
+    z = sums_of(each[spot % max(1, len(words))], inside) / np.maximum(np.diff(inside), EVIDENCE) + model.bias
+    top = np.maximum.reduceat(z, parts[:-1]) + model.length * np.log(np.diff(parts)) if len(texts) else z
     return 1 / (1 + np.exp(-np.clip(top, -500, 500)))
 
 
