@@ -1,15 +1,16 @@
 """Byte-level BPE over a corpus: each distinct word is encoded once.
 
-Encoding splits each stretch of documents into pre-tokens and gives every distinct one of the stretch a slot. The slots, a word
-each, are exploded and shuffled by word, where each distinct word is encoded once; the ids go back to the stretch by a second
-shuffle and are put at their positions. The positions themselves, a slot number for each pre-token, are by far the most of
-it; they wait in the shared folder and aren't shuffled. Decoding joins ids with the token-byte table, which has as many rows as
-the vocabulary, whatever the corpus.
+Encoding splits each stretch of documents into pre-tokens and explodes its distinct ones, a row each with its slot in the stretch.
+The rows are shuffled and sorted by word, so each distinct word of the corpus is encoded once, whatever the number of words in a
+partition; the ids go back to their stretch by a second shuffle and are put at the positions of their slots. The positions
+themselves, a slot number for each pre-token, are by far the most of it; they wait in the shared folder and aren't shuffled.
+Decoding joins ids with the token-byte table, which has as many rows as the vocabulary, whatever the corpus: a broadcast join.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -71,95 +72,111 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def pack_words(words: list[bytes], slots: np.ndarray) -> bytes:
-    """Some words in order, without what each shares with the one before, and their slots."""
-    body = b"".join(words)
-    small = pa.compress(body, codec="zstd", asbytes=True)
-    return struct.pack("<QQ", len(body), len(small)) + small + pack(np.fromiter(map(len, words), np.int64, len(words)), slots)
+def _name(folder: str, stretch: int) -> str:
+    return f"{folder}/{stretch >> 32:06d}-{stretch & 0xFFFFFFFF:05d}"
 
 
-def unpack_words(data: bytes) -> tuple[list[bytes], np.ndarray]:
-    size, small = struct.unpack_from("<QQ", data, 0)
-    body = pa.decompress(data[16 : 16 + small], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
-    lengths, slots = unpack(data[16 + small :])
-    ends = np.cumsum(lengths.astype(np.int64)).tolist()
-    return [body[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else [], slots
-
-
-def _stretches(folder: str, pattern: str, buckets: int):
-    """Stage 1: positions to the shared folder, and a row for each stretch and bucket of words."""
+def _stretches(folder: str, pattern: str, size: int):
+    """Stage 1: positions to the shared folder, and a row for each distinct word of a stretch. A repeated task writes the same bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         split, part = splitter(pattern), TaskContext.get().partitionId()
-        for seq, block in enumerate(blocks(batches, 1, BLOCK_BYTES)):
+        for seq, block in enumerate(blocks(batches, 1, size)):
             words, codes, lengths = coded(block.column(1).to_pylist(), split)
-            raw = [w.encode("utf-8") for w in words]
-            times = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+            order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
             slot = np.empty(len(words), np.int64)
-            slot[times] = np.arange(len(words))
-            name = f"{folder}/{part:06d}-{seq:05d}"
-            sink = pa.BufferOutputStream()
+            slot[order] = np.arange(len(words))
+            stretch, sink = (part << 32) + seq, pa.BufferOutputStream()
             docs = pa.table({"id": block.column(0), "key": block.column(2), "n": pa.array(lengths)})
             with pa.ipc.new_stream(sink, docs.schema) as out:
                 out.write_table(docs.combine_chunks())
             head = sink.getvalue().to_pybytes()
-            put_bytes(name, struct.pack("<Q", len(head)) + head + pack(slot[codes]))
-            bucket = np.fromiter((hash_of(w) % buckets for w in raw), np.int64, len(raw)) if raw else np.zeros(0, np.int64)
-            rows = []
-            for b in np.unique(bucket).tolist() or [0]:
-                own = sorted(np.flatnonzero(bucket == b).tolist(), key=raw.__getitem__)
-                rows.append((b, pack_words([raw[k] for k in own], slot[own])))
-            yield pa.record_batch([pa.array([b for b, _ in rows], pa.int32()), pa.array([name] * len(rows)), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "stretch", "words"])
-            del words, codes, raw, rows, block
+            put_bytes(_name(folder, stretch), struct.pack("<Q", len(head)) + head + pack(slot[codes]))
+            found = pa.table({"stretch": np.full(len(words), stretch), "slot": slot.astype(np.int32), "word": words.cast(pa.binary())})
+            if not len(words):  # its documents have no ids, but have rows
+                found = pa.table({"stretch": pa.array([stretch], pa.int64()), "slot": pa.array([-1], pa.int32()), "word": pa.array([b""], pa.binary())})
+            del words, codes, slot, order, block
+            yield from found.to_batches(max_chunksize=20_000)
             trim()
 
     return run
 
 
-def hash_of(word: bytes) -> int:
-    from zlib import crc32
-
-    return crc32(word)
-
-
 def _encoded(shared, pattern: str):
-    """Stage 2: a partition holds all rows of its words, and encodes each distinct one once."""
+    """Stage 2: rows come sorted by word, so the rows of a word stand side by side and it is encoded once; nothing is kept but the last word."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        one, known = piece_encoder(shared, pattern), {}
+        one, last, held = piece_encoder(shared, pattern), None, b""
         for batch in batches:
-            for stretch, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words, slots = unpack_words(packed)
-                for w in words:
-                    if w not in known:
-                        known[w] = one(w)
-                ids = [known[w] for w in words]
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-                flat = np.fromiter((i for x in ids for i in x), np.int64, int(sizes.sum()))
-                yield pa.record_batch([pa.array([stretch]), pa.array([pack(slots, sizes, flat)], pa.binary())], names=["stretch", "ids"])
-        del known
+            found = batch.column(2).dictionary_encode()
+            packed = []
+            for word in found.dictionary.to_pylist():
+                if word != last:
+                    last, held = word, np.asarray(one(word) if word else [], "<u4").tobytes()
+                packed.append(held)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(packed, pa.binary()).take(found.indices)], names=["stretch", "slot", "ids"])
         trim()
 
     return run
 
 
-def _assembled(table: pa.Table) -> pa.Table:
-    """Stage 3: the ids of a stretch's words at their positions, document by document."""
-    data = get_bytes(table.column("stretch")[0].as_py())
+def _assembled(folder: str, stretch: int, slots: list[pa.Array], packed: list[pa.Array], step: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, row key, ids) of a stretch: the ids of its words, which come sorted by slot, at the words' positions."""
+    data = get_bytes(_name(folder, stretch))
     size = struct.unpack_from("<Q", data)[0]
     docs = pa.ipc.open_stream(data[8 : 8 + size]).read_all()
-    codes = unpack(data[8 + size :])[0].astype(np.int64)
-    slots, sizes, flat = (np.concatenate(x).astype(np.int64) for x in zip(*map(unpack, table.column("ids").to_pylist()), strict=True))
-    order = np.argsort(slots)
-    flat, sizes = ragged(flat.astype(np.int32), starts_of(sizes), order)
-    bounds = starts_of(sizes)
-    parts = [ragged(flat, bounds, codes[k : k + STEP]) for k in range(0, len(codes), STEP)]
-    per_piece = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-    ends = starts_of(per_piece)[starts_of(docs.column("n").to_numpy())]
-    ids = pa.array(np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int32))
-    del parts, codes, flat, slots, data
-    trim()
-    return pa.table({"doc_id": docs.column("id"), KEY: docs.column("key"), "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), ids)})
+    codes = unpack(data[8 + size :])[0]
+    del data
+    there = pa.concat_arrays(slots).to_numpy()
+    ids = [x for part in packed for x in part.to_pylist()]
+    if len(codes) and not (len(there) == there[-1] + 1 and there[0] == 0):
+        raise ValueError(f"stretch {stretch} has {len(there)} of its words")
+    bounds = starts_of(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
+    flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
+    del ids
+    ends, first = starts_of(docs.column("n").to_numpy()), 0
+    while first < docs.num_rows:
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + step, side="right")) - 1)
+        own, per_piece = ragged(flat, bounds, codes[ends[first] : ends[last]].astype(np.int64))
+        cuts = starts_of(per_piece)[ends[first : last + 1] - ends[first]]
+        part = docs.slice(first, last - first).combine_chunks()
+        lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(own))
+        yield pa.record_batch([part.column(0).combine_chunks(), part.column(1).combine_chunks(), lists], names=["doc_id", KEY, "ids"])
+        first = last
+
+
+def _by_stretch(folder: str, finish, step: int):
+    """Stage 3: the rows of a stretch stand side by side; ``finish`` takes each batch of its documents, about ``step`` pre-tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        now, slots, packed = None, [], []
+        for batch in batches:
+            stretch = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(stretch)) + 1).tolist(), len(stretch)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if now is not None and stretch[a] != now:
+                    yield from map(finish, _assembled(folder, now, slots, packed, step))
+                    slots, packed = [], []
+                    trim()
+                now = int(stretch[a])
+                slots.append(batch.column(1).slice(a, b - a))
+                packed.append(batch.column(2).slice(a, b - a))
+        if now is not None:
+            yield from map(finish, _assembled(folder, now, slots, packed, step))
+        del slots, packed
+        trim()
+
+    return run
+
+
+def _encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str, text_col: str, finish, schema: str) -> DataFrame:
+    spark = docs.sparkSession
+    shared, folder = spark.sparkContext.broadcast(ranks), scratch(spark, "stretches")
+    words = picked(docs, id_col, text_col).mapInArrow(_stretches(folder, pattern, BLOCK_BYTES), "stretch long, slot int, word binary")
+    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded(shared, pattern), "stretch long, slot int, ids binary")
+    return ids.repartition("stretch").sortWithinPartitions("stretch", "slot").mapInArrow(_by_stretch(folder, finish, STEP), schema)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,23 +185,38 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     A null or empty text has no ids. Ids may be null or repeat; each row is encoded by itself. An empty table gives no rows. Other
     columns are ignored. A text has to fit into a worker's memory. A word that is in all stretches is one row in each.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(ranks)
-    buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    words = picked(docs, id_col, text_col).mapInArrow(_stretches(scratch(spark, "stretches"), pattern, buckets), "bucket int, stretch string, words binary")
-    ids = words.repartition(F.col("bucket")).select("stretch", "words").mapInArrow(_encoded(shared, pattern), "stretch string, ids binary")
-    return ids.groupBy("stretch").applyInArrow(_assembled, f"doc_id long, {KEY} long, ids array<int>")
+    return _encode(docs, ranks, pattern, id_col, text_col, lambda batch: batch, f"doc_id long, {KEY} long, ids array<int>")
+
+
+def token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
+    """The token-byte table: the bytes of each id, empty where there is none."""
+    table = [b""] * (max(ranks.values(), default=-1) + 1)
+    for word, rank in ranks.items():
+        table[rank] = word
+    return table
+
+
+def joined_bytes(lists: pa.Array, known: pa.Array) -> tuple[pa.Buffer, np.ndarray]:
+    """What ``known`` has for each id, end to end, and where each list's part starts. An id that ``known`` lacks is an error."""
+    flat = lists.flatten()
+    if len(flat) and (flat.null_count or pc.min(flat).as_py() < 0):
+        raise ValueError("an id below 0 or null")
+    pieces = known.take(flat)
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if not len(pieces):
+        return pa.py_buffer(b""), np.zeros(len(lists) + 1, np.int32)
+    # what was taken lies end to end already; only the lists' bounds are new
+    _, bounds, body = pieces.buffers()
+    return body or pa.py_buffer(b""), np.frombuffer(bounds, np.int32, len(pieces) + 1)[starts_of(lengths)]
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:
     """``tokens`` with ``decoded``, the bytes of its ids: each id is joined with the token-byte table by its number.
 
-    The bytes may end inside a character. Null or empty ids decode to no bytes. An id that the table lacks raises an error.
+    The table is the small side of a broadcast join, at most ``VOCABULARY`` rows. The bytes may end inside a character. Null or empty
+    ids decode to no bytes. An id that the table lacks raises an error. A column ``decoded`` of ``tokens`` is replaced, others stay.
     """
-    table = [b""] * (max(ranks.values(), default=-1) + 1)
-    for word, rank in ranks.items():
-        table[rank] = word
-    shared = tokens.sparkSession.sparkContext.broadcast(table)
+    shared = tokens.sparkSession.sparkContext.broadcast(token_bytes(ranks))
     name = "__pg_ids" if ids_col != "__pg_ids" else "__pg_ids2"
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -192,18 +224,10 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") ->
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                lists = part.column(part.num_columns - 1)
-                flat = lists.flatten()
-                if len(flat) and (pc.min(flat).as_py() < 0 or flat.null_count):
-                    raise ValueError("an id below 0 or null")
-                pieces = known.take(flat)
-                lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-                # what was taken lies end to end already; only the documents' bounds are new
-                _, bounds, body = pieces.buffers()
-                cuts = np.frombuffer(bounds, np.int32, len(pieces) + 1)[starts_of(lengths)] if len(pieces) else np.zeros(len(lists) + 1, np.int32)
-                out = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(cuts)), body or pa.py_buffer(b"")])
+                body, cuts = joined_bytes(part.column(part.num_columns - 1), known)
+                out = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(np.ascontiguousarray(cuts)), body])
                 yield pa.record_batch([*part.columns[:-1], out], names=[*part.schema.names[:-1], "decoded"])
-                del out, body, pieces, flat, lists, bounds
+                del out, body
             trim()
 
     from pyspark.sql import types as T
@@ -217,3 +241,26 @@ def digests(decoded: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): hex digests of the decimal ids, joined by one space, and of the decoded bytes."""
     text = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``digests`` of the decoded encoding of each document, for the same tables as ``encode``.
+
+    Assembling, decoding and both digests of a stretch are done by one worker, so ids and bytes never pass through the JVM.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(token_bytes(ranks))
+    tables: dict[str, pa.Array] = {}
+
+    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if not tables:
+            tables["bytes"] = pa.array(shared.value, pa.binary())
+            tables["decimal"] = pa.array([b"%d " % k for k in range(len(shared.value))], pa.binary())
+        lists, sums = batch.column(2), {}
+        for name, cut in (("decimal", 1), ("bytes", 0)):  # the blank after a document's last id doesn't count
+            body, cuts = joined_bytes(lists, tables[name])
+            view = memoryview(body)
+            sums[name] = [hashlib.sha256(view[a : max(a, b - cut)]).hexdigest() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        n = pc.list_value_length(lists).cast(pa.int64())
+        return pa.record_batch([batch.column(0), n, pa.array(sums["decimal"]), pa.array(sums["bytes"])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return _encode(docs, ranks, pattern, id_col, text_col, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -44,7 +44,7 @@ def splitter(pattern: str):
     return lambda text: (full if _BEYOND.search(text) else quick).findall(text)
 
 
-def coded(texts: list[str], split) -> tuple[list[str], np.ndarray, np.ndarray]:
+def coded(texts: list[str], split) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct pre-tokens of some texts, each pre-token's place among them, and the number of pre-tokens per text."""
     parts, held, n, lengths = [], [], 0, np.zeros(len(texts), np.int64)
     for k, text in enumerate(texts):
@@ -56,7 +56,7 @@ def coded(texts: list[str], split) -> tuple[list[str], np.ndarray, np.ndarray]:
             held = []
     parts.append(pa.array(held, pa.string()))
     found = pa.chunked_array(parts).combine_chunks().dictionary_encode()
-    return found.dictionary.to_pylist(), found.indices.to_numpy(), lengths
+    return found.dictionary, found.indices.to_numpy(), lengths
 
 
 def ragged(values: np.ndarray, bounds: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +94,7 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each has."""
         words, codes, lengths = coded(texts, self.split)
-        lists = [self.ids(w) for w in words]
+        lists = [self.ids(w) for w in words.to_pylist()]
         bounds = starts_of(np.fromiter(map(len, lists), np.int64, len(lists)))
         flat = np.fromiter((i for x in lists for i in x), np.uint32, bounds[-1])
         ids, sizes = ragged(flat, bounds, codes)
