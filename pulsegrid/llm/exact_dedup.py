@@ -157,7 +157,10 @@ def local_groups(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> D
 
 
 def resolve(groups: DataFrame) -> DataFrame:
-    """(digest, keep_id, keep_key, group_size) of each digest, through each bucket's Cuckoo index."""
+    """(digest, keep_id, keep_key, group_size) of each digest, through each bucket's Cuckoo index.
+
+    A digest's stretches are put together before the index, so a text in a third of all documents is one row of its bucket.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         index = CuckooIndex(64)
@@ -173,7 +176,10 @@ def resolve(groups: DataFrame) -> DataFrame:
             }
         )
 
-    return groups.select("bucket", "digest", "n", "chars", "best_id", "best_key").groupBy("bucket").applyInArrow(run, "digest binary, keep_id long, keep_key long, group_size long")
+    best = F.min(F.struct((-F.col("chars")).alias("c"), F.col("best_id").isNull().alias("z"), F.col("best_id").alias("id"), F.col("best_key").alias("key"))).alias("best")
+    one = groups.groupBy("bucket", "digest").agg(F.sum("n").alias("n"), best)
+    one = one.select("bucket", "digest", "n", (-F.col("best.c")).alias("chars"), F.col("best.id").alias("best_id"), F.col("best.key").alias("best_key"))
+    return one.groupBy("bucket").applyInArrow(run, "digest binary, keep_id long, keep_key long, group_size long")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
