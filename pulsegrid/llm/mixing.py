@@ -7,6 +7,7 @@ position. A source's stream is its documents in the order of a hash of their ids
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -19,10 +20,12 @@ from .common import KEY, OWN, keyed, written
 WEIGHTS = (5, 2, 1)
 #: All targets together, as a share of all sizes; and the most that a source gives, in times its size.
 SHARE, MOST = 1.5, 2.0
-#: How much a weight changes over the run: (1 + SLOPE * (1 - 2t)) times it for the sources that start strong, the mirror of it for the others.
-SLOPE = 0.5
-#: The first hex digits of the hash that split a source's stream into runs for the two-level running sum.
-DIGITS = 3
+#: A weight's course over the run, as knots (time from 0 to 1, factor of the weight) with straight lines between them.
+Schedule = Sequence[tuple[float, float]]
+#: Schedules of the sources in code point order, repeating: one that starts strong, and its mirror.
+SCHEDULES: tuple[Schedule, ...] = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (1.0, 1.5)))
+#: Hex digits of a hash that split a source's stream into runs at least, and documents of a run on average.
+DIGITS, RUN_ROWS = 3, 1_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -31,7 +34,7 @@ def word_count(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(source, source_size, target, phase) of each source of ``sizes`` (source, size).
+    """(source, source_size, target, place) of each source of ``sizes`` (source, size).
 
     Weights are dealt in code point order, a null source last. A target is its weight's part of ``share`` of all sizes, but at
     most ``most`` times the source's size; what is cut off is shared by weight among the others until none is above. With the
@@ -49,54 +52,100 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     per = per.withColumn("level", (F.col("budget") - F.col("cut")) / F.col("left")).withColumn("full", F.col("source_size") * most <= F.col("level") * F.col("weight"))
     per = per.withColumn("final", F.max(F.when(~F.col("full"), F.col("level"))).over(one))
     target = F.when(F.col("full") | F.col("final").isNull(), F.col("source_size") * most).otherwise(F.col("final") * F.col("weight"))
-    return per.select("source", "source_size", target.alias("target"), (F.col("place") % 2).alias("phase"))
+    return per.select("source", "source_size", target.alias("target"), "place")
 
 
-def position_of(part: Column, phase: Column, slope: float = SLOPE) -> Column:
-    """The time t at which the cumulative demand of a source reaches ``part`` of its target.
+def checked(schedule: Schedule) -> Schedule:
+    """``schedule`` if it is one: times from 0 to 1, rising, and weights of at least 0 whose integral is above 0."""
+    times, heights = [float(t) for t, _ in schedule], [float(w) for _, w in schedule]
+    if len(times) < 2 or times[0] != 0 or times[-1] != 1 or any(a >= b for a, b in zip(times[:-1], times[1:], strict=True)) or min(heights) < 0 or max(heights) <= 0:
+        raise ValueError(f"not a schedule: {schedule}")
+    return tuple(zip(times, heights, strict=True))
 
-    The weight of a source is 1 + slope * (1 - 2t), for odd sources 1 - slope * (1 - 2t); it integrates to
-    (1 + s) * t - s * t * t, which is 1 at t = 1 and has this inverse.
-    """
-    s = F.when(phase == 0, F.lit(slope)).otherwise(F.lit(-slope))
-    return ((1 + s) - F.sqrt((1 + s) * (1 + s) - 4 * s * F.least(F.greatest(part, F.lit(0.0)), F.lit(1.0)))) / (2 * s)
 
+def inverse_demand(part: Column, schedule: Schedule) -> Column:
+    """The time at which the integral of a schedule reaches ``part`` of its whole.
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole: bool = False) -> DataFrame:
+    Between two knots the weight is linear, so the demand is a quadratic, and its inverse is written without a difference of
+    nearly equal numbers. A stretch of weight 0 is passed over: nothing trains in it.
+    """
+    knots = checked(schedule)
+    areas = [(t1 - t0) * (w0 + w1) / 2 for (t0, w0), (t1, w1) in zip(knots[:-1], knots[1:], strict=True)]
+    goal = F.least(F.greatest(part, F.lit(0.0)), F.lit(1.0)) * sum(areas)
+    out, before, every = None, 0.0, [k for k, a in enumerate(areas) if a > 0]
+    for k in every:
+        (t0, w0), (t1, w1) = knots[k], knots[k + 1]
+        rest = F.greatest(goal - before, F.lit(0.0))
+        root = F.sqrt(F.greatest(F.lit(w0 * w0) + 2 * rest * ((w1 - w0) / (t1 - t0)), F.lit(0.0)))
+        time = F.lit(t0) + F.coalesce(F.try_divide(2 * rest, F.lit(w0) + root), F.lit(0.0))
+        before += areas[k]
+        here = F.least(time, F.lit(t1))
+        out = (here if k == every[-1] else F.when(goal <= before, here)) if out is None else out.otherwise(here) if k == every[-1] else out.when(goal <= before, here)
+    return out
+
+
+def position_of(part: Column, place: Column, schedules: Sequence[Schedule] = SCHEDULES) -> Column:
+    """The training position of ``part`` of a source's target; the schedules are dealt to the sources by their place, repeating."""
+    out = None
+    for k, schedule in enumerate(schedules):
+        mine = place % len(schedules) == k
+        out = F.when(mine, inverse_demand(part, schedule)) if out is None else out.when(mine, inverse_demand(part, schedule))
+    return out
+
+
+def offsets(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` (source, hash, size, the row key) with ``start``: the words of its source before each document, in the order of hash, tie and row key.
+
+    The tie is a hash of the row key. Three sums are put together: of the runs before, runs being prefixes of the hash; of the
+    hashes and prefixes of the tie before within the run, a row each; and of the rows before with the very same hash and prefix. So
+    ids that are null or repeat, however often, are spread over 16^``DIGITS`` windows; a run has about ``RUN_ROWS`` rows.
+    """
+    digits = max(DIGITS, math.ceil(math.log(max(rows, 1) / RUN_ROWS, 16)))
+    s, tie = OWN + "s", F.md5(F.col(KEY).cast("string"))
+    df = df.withColumn(s, F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))).withColumn("run", F.substring("hash", 1, digits)).withColumn("tie", F.substring(tie, 1, DIGITS))
+    before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    sums = lambda c, w: F.coalesce(F.sum(c).over(before(w)), F.lit(0))
+    keys = [s, "run", "hash", "tie"]
+    parts = df.groupBy(*keys).agg(F.sum("size").alias("words"))
+    runs = parts.groupBy(s, "run").agg(F.sum("words").alias("words"))
+    runs = runs.select(s, "run", sums("words", W.partitionBy(s).orderBy("run")).alias("first"))
+    parts = parts.select(*keys, sums("words", W.partitionBy(s, "run").orderBy("hash", "tie")).alias("second"))
+    df = df.withColumn("third", sums("size", W.partitionBy(*keys).orderBy(KEY)))
+    found = df.join(parts, keys).join(runs, [s, "run"])
+    return found.withColumn("start", F.col("first") + F.col("second") + F.col("third")).drop("run", "tie", "first", "second", "third")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole: bool = False, weights: Sequence[int] = WEIGHTS, schedules: Sequence[Schedule] = SCHEDULES) -> DataFrame:
     """One row per document: doc_id, the row key, size, source_size, target, taken, copies, position and again.
 
-    ``position`` and ``again`` are the training positions, 0 to 1, of its first and second use; null where there is none.
+    ``position`` and ``again`` are the training positions, 0 to 1, of its first and second use; null where there is none. Weights and
+    schedules are dealt to the sources in code point order, a null source last, repeating.
 
     ``taken`` is the number of its words that the mix takes, repeats counted. The document in which a source reaches its target is
     cut there; with ``whole`` it is taken whole if at least half of it would be, so ``taken`` is copies times size. Null texts and
-    texts without words have size 0 and take nothing. Rows that repeat an id are documents of their own. Null ids are in order
-    before others of the same hash. An empty table gives no rows.
+    texts without words have size 0 and take nothing; a text of any length is one document. Rows that repeat an id, or have none, are
+    documents of their own, in an order of their row keys. An empty table gives no rows. Other columns are ignored.
     """
     df = docs if KEY in docs.columns else keyed(docs)
     df = df.select(F.col(f"`{id_col}`").alias("doc_id"), KEY, F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"))
-    hashed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    df = written(df.withColumn("hash", hashed).withColumn("run", F.substring("hash", 1, DIGITS)), "mix-sizes")
-    aims = targets(df)
-    runs = df.groupBy("source", "run").agg(F.sum("size").alias("run_size"))
-    runs = runs.withColumn("before", F.coalesce(F.sum("run_size").over(W.partitionBy("source").orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    ahead = W.partitionBy("source", "run").orderBy("hash", "doc_id", "size", KEY).rowsBetween(W.unboundedPreceding, -1)
-    df = df.withColumn("inside", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
-    df = df.withColumn(OWN + "s", key).join(runs.select(key.alias(OWN + "s"), "run", "before"), [OWN + "s", "run"]).join(aims.select(key.alias(OWN + "s"), "source_size", "target", "phase"), OWN + "s")
-    start = F.col("before") + F.col("inside")
+    df = written(df.withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "mix-sizes")
+    aims = targets(df, weights).select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")).alias(OWN + "s"), "source_size", "target", "place")
+    df = offsets(df, df.count()).join(aims, OWN + "s")
+    start = F.col("start")
     goal = F.round("target").cast("long")
     got = [F.least(F.greatest(goal - start - F.col("source_size") * p, F.lit(0)), F.col("size")) for p in range(int(MOST))]
     uses = [((F.lit(2) * g >= F.col("size")) if whole else (g > 0)) & (F.col("size") > 0) for g in got]
     copies = sum((F.when(u, 1).otherwise(0) for u in uses[1:]), F.when(uses[0], 1).otherwise(0))
     taken = copies * F.col("size") if whole else sum(got[1:], got[0])
-    spots = [F.when(u, F.round(position_of((start + F.col("source_size") * p + F.col("size") / 2) / F.greatest(F.col("target"), F.lit(1.0)), F.col("phase")), 6)) for p, u in enumerate(uses)]
+    spots = [F.when(u, F.round(position_of((start + F.col("source_size") * p + F.col("size") / 2) / F.greatest(F.col("target"), F.lit(1.0)), F.col("place"), schedules), 6)) for p, u in enumerate(uses)]
     return df.select("doc_id", KEY, "size", "source_size", F.round("target", 6).alias("target"), taken.cast("long").alias("taken"), copies.cast("int").alias("copies"), spots[0].alias("position"), spots[1].alias("again"))
 
 
 def mixed_order(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """The documents that ``plan`` (of ``mix`` with ``whole``) takes, each as often as taken, range-sorted by training position.
 
-    ``docs`` carries the row key that ``mix`` was given.
+    ``docs`` carries the row key that ``mix`` was given; its columns stay, nulls and all. Uses at the same position are in the order of
+    the row key. Nothing taken gives no rows.
     """
     at = plan.where("copies > 0").select(KEY, F.explode(F.array_compact(F.array("position", "again"))).alias(OWN + "at"))
     return docs.join(at, KEY).repartitionByRange(OWN + "at", KEY).sortWithinPartitions(OWN + "at", KEY).drop(KEY, OWN + "at")

@@ -412,12 +412,39 @@ def test_mixing_query_is_in_order_of_position(spark, small):
     assert got == sorted(got) and len({g[1] for g in got}) > 50
 
 
-def test_positions_invert_the_demand():
-    for s in (0.5, -0.5):
-        for t in (0.0, 0.2, 0.77, 1.0):
-            part = (1 + s) * t - s * t * t
-            inverse = ((1 + s) - ((1 + s) ** 2 - 4 * s * part) ** 0.5) / (2 * s)
-            assert abs(inverse - t) < 1e-9
+SCHEDULES = [((0, 1.5), (1, 0.5)), ((0, 0.5), (1, 1.5)), ((0, 1), (0.25, 1), (0.5, 0), (0.75, 0), (1, 4)), ((0, 0), (1, 2)), ((0, 3), (0.2, 0), (1, 0)), ((0, 1), (1, 1))]
+
+
+def test_positions_invert_the_demand(spark):
+    parts = spark.createDataFrame([(k / 200,) for k in range(201)], "p double")
+    got = parts.select("p", *(mixing.inverse_demand(F.col("p"), s).alias(f"t{k}") for k, s in enumerate(SCHEDULES))).collect()
+    for k, knots in enumerate(SCHEDULES):
+        t = np.linspace(0, 1, 200_001)
+        w = np.interp(t, *zip(*knots, strict=True))
+        demand = np.concatenate([[0], np.cumsum((w[1:] + w[:-1]) / 2)])
+        demand /= demand[-1]
+        for r in got:
+            assert 0 <= r[k + 1] <= 1 and abs(np.interp(r[k + 1], t, demand) - r.p) < 1e-4
+        assert all(a[k + 1] <= b[k + 1] for a, b in zip(got[:-1], got[1:], strict=True))
+    for bad in (((0, 1),), ((0, 1), (0.5, 1)), ((0, 1), (1, -1)), ((0, 0), (1, 0)), ((0, 1), (0.5, 1), (0.5, 2), (1, 1))):
+        with pytest.raises(ValueError, match="schedule"):
+            mixing.inverse_demand(F.col("p"), bad)
+
+
+def test_mixing_follows_its_schedules(spark):
+    rows = [(k, "w " * (k % 7 + 1), "ab"[k % 2]) for k in range(3000)]
+    late = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 1), schedules=(((0, 1), (0.5, 0), (1, 0)), ((0, 0), (0.5, 0), (1, 1)))).toPandas()
+    source = late.doc_id % 2
+    assert late.position[source == 0].max() <= 0.5 <= late.position[source == 1].min()
+
+
+@pytest.mark.parametrize("ids", [[None] * 4000, [7] * 4000, [*range(2000)] * 2])
+def test_mixing_of_repeated_ids_spreads_over_windows(spark, ids):
+    rows = spark.createDataFrame([(i, "w " * (k % 5), "s") for k, i in enumerate(ids)], "doc_id long, text string, source string")
+    df = common.keyed(rows).select(F.col("doc_id"), common.KEY, "source", mixing.word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("hash"))
+    got = sorted((r["start"], r["size"]) for r in mixing.offsets(df, 4000).collect())
+    assert len(got) == 4000 and all(a + n == b for (a, n), (b, _) in zip(got[:-1], got[1:], strict=True))
+    assert sum(mixing.mix(rows).toPandas().taken) == 12_000  # 1.5 times 8,000 words
 
 
 def auc(score, y):
