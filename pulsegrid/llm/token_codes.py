@@ -74,14 +74,22 @@ def _byte_letters() -> dict[int, int]:
 
 
 class WordEncoder:
-    """The ids of pre-tokens by the model of a tokenizers file; each distinct word of a block goes to the model once."""
+    """The ids of texts as a tokenizers file gives them without its post-processor; each distinct word of a block goes to the model once.
 
-    def __init__(self, path: str, pattern: str):
+    The file's added tokens are found in the text first, as the library does, and have ids of their own. A text that has an added
+    token with flags (normalized, single_word, lstrip or rstrip) goes to the library as a whole.
+    """
+
+    def __init__(self, vocabulary: str, pattern: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        self.model, self.letters, self.split, self.known = tokenizer.model, _byte_letters(), splitter(pattern), {}
+        self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.model, self.letters, self.split, self.known = self.tokenizer.model, _byte_letters(), splitter(pattern), {}
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: k for k, t in added.items()}
+        self.flagged = [t.content for t in added.values() if t.normalized or t.single_word or t.lstrip or t.rstrip]
+        longest = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
 
     def ids(self, word: str) -> list[int]:
         held = self.known.get(word)
@@ -93,6 +101,19 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each has."""
+        if not any(a in t for t in texts for a in self.added):
+            return self._plain(texts)
+        parts = [[t] if any(f in t for f in self.flagged) else self.cut.split(t) for t in texts]
+        plain = [p for t in parts for p in t[::2] if not any(f in p for f in self.flagged)]
+        flat, sizes = self._plain(plain)
+        found = iter(np.split(flat, np.cumsum(sizes)[:-1]) if plain else ())
+        out = [
+            [np.array(self.tokenizer.encode(t[0], add_special_tokens=False).ids, np.uint32)] if any(f in t[0] for f in self.flagged) else [np.array([self.added[p]], np.uint32) if k % 2 else next(found) for k, p in enumerate(t)]
+            for t in parts
+        ]
+        return np.concatenate([x for t in out for x in t]), np.array([sum(map(len, t)) for t in out], np.int64)
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         words, codes, lengths = coded(texts, self.split)
         lists = [self.ids(w) for w in words.to_pylist()]
         bounds = starts_of(np.fromiter(map(len, lists), np.int64, len(lists)))
@@ -104,10 +125,11 @@ class WordEncoder:
 _encoders: dict[tuple[str, str], WordEncoder] = {}
 
 
-def encoder(path: str, pattern: str) -> WordEncoder:
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = WordEncoder(path, pattern)
-    return _encoders[path, pattern]
+def encoder(vocabulary: str, pattern: str) -> WordEncoder:
+    if (vocabulary, pattern) not in _encoders:
+        _encoders.clear()
+        _encoders[vocabulary, pattern] = WordEncoder(vocabulary, pattern)
+    return _encoders[vocabulary, pattern]
 
 
 class Codes:
@@ -210,8 +232,11 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, pattern: str, id_c
 
     ``base`` is the number of ids in all files before. A null text counts as empty and has the end id only. Null doc_ids come first;
     rows that repeat a doc_id stand side by side. An empty table gives no file. Other columns are ignored. A text has to fit into
-    a worker's memory. A repeated task writes its files anew under the same names.
+    a worker's memory. A repeated task writes its files anew under the same names. ``vocabulary`` is the path of a tokenizers file,
+    which the driver reads and broadcasts.
     """
+    with open(vocabulary, encoding="utf-8") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]):
         part, seq, doc_ids, lengths, held = TaskContext.get().partitionId(), 0, [], [], []
@@ -229,7 +254,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, pattern: str, id_c
             return row
 
         for block in blocks(batches, 1, BLOCK_BYTES):
-            ids, sizes = encoder(vocabulary, pattern).encode(block.column(1).to_pylist())
+            ids, sizes = encoder(shared.value, pattern).encode(block.column(1).to_pylist())
             held.append(np.insert(ids, np.cumsum(sizes), end_id))
             lengths.append(sizes + 1)
             doc_ids += block.column(0).to_pylist()

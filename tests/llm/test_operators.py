@@ -136,7 +136,6 @@ def test_token_files(spark, docs, odd, empty, tmp_path):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     for frame, rows in rows_of(docs, odd):
         rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
         want, start = [], 0
@@ -154,6 +153,20 @@ def test_token_files(spark, docs, odd, empty, tmp_path):
     assert token_codes.token_files(empty, P.path("byte_bpe_50k.json"), P.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("flags", [{}, {"lstrip": True}, {"single_word": True}, {"normalized": True}])
+def test_added_tokens_as_the_library_finds_them(flags):
+    from tokenizers import AddedToken, Tokenizer
+
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tokenizer.add_tokens([AddedToken("<|x|>", **({"normalized": False} | flags)), AddedToken("<|x|>y", normalized=False)])
+    own, random_ = token_codes.WordEncoder(tokenizer.to_str(), P.PATTERN), random.Random(6)
+    marks = ["<|endoftext|>", "<|x|>", "<|x|>y", "y", " ", "\n", "word", "naïve ", "<|", "1"]
+    texts = ["", "a<|endoftext|>b", "plain"] + ["".join(random_.choice(marks) for _ in range(random_.randrange(9))) for _ in range(400)]
+    ids, sizes = own.encode(texts)
+    got = np.split(ids, np.cumsum(sizes)[:-1])
+    assert [x.tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_licenses(docs, odd, empty):
     for frame, rows in rows_of(docs, odd):
         want = []
