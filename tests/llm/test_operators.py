@@ -185,11 +185,53 @@ def test_license_expressions():
     assert license_scan.postfix("MIT OR Apache-2.0 AND GPL-2.0-only WITH Classpath-exception-2.0") == ["MIT", "Apache-2.0", "GPL-2.0-only", "Classpath-exception-2.0", "WITH", "AND", "OR"]
     assert license_scan.evaluate("(GPL-3.0-only or MIT) and ISC") == (True, ["GPL-3.0-only", "ISC", "MIT"])
     assert not license_scan.evaluate("GPL-3.0-only AND MIT")[0]
-    for bad in ("", "MIT OR", "OR MIT", "(MIT", "MIT)", "MIT MIT", "()", "MIT (ISC)", "a$b"):
+    assert license_scan.evaluate("GPL-2.0-only WITH Classpath-exception-2.0 OR (MIT AND ISC)") == (True, ["GPL-2.0-only", "ISC", "MIT"])
+    for bad in ("", "MIT OR", "OR MIT", "(MIT", "MIT)", "MIT MIT", "()", "MIT (ISC)", "a$b", "(MIT OR ISC) WITH foo", "MIT WITH A WITH B", "MIT WITH (A)", "MIT WITH"):
         with pytest.raises(license_scan.ExpressionError):
             license_scan.evaluate(bad)
     scan = license_scan.scanner(()).scan("# SPDX-License-Identifier: MIT OR GPL-2.0-only\n# SPDX-License-Identifier: MIT OR\ncc by cc by")
-    assert scan[1] == 2 and scan[7] == ["MIT OR GPL-2.0-only"] and scan[8] is True and "invalid-expression" in scan[5] and "spdx:mit" in scan[5]
+    assert scan[1] == 2 and scan[7] == ["cc-by", "cc-by", "MIT OR GPL-2.0-only"] and scan[8] is True and "invalid-expression" in scan[5] and "spdx:mit" in scan[5]
+
+
+def test_expressions_in_lines_of_prose_and_comments():
+    lines = {"MIT -->": "MIT", "MIT and then prose": "MIT", "(MIT OR Apache-2.0) */": "(MIT OR Apache-2.0)", "mit AND LicenseRef-own, see below": "mit", "GPL-2.0-only WITH Classpath-exception-2.0 AND more": "GPL-2.0-only WITH Classpath-exception-2.0"}
+    for line, want in lines.items():
+        assert license_scan.leading(line) == want
+        assert license_scan.evaluate(license_scan.leading(line))[1]
+    for bad in ("", "MIT OR", "none at all", "(MIT", "AND MIT"):
+        with pytest.raises(license_scan.ExpressionError):
+            license_scan.leading(bad)
+    scan = license_scan.scanner(()).scan("<!-- SPDX-License-Identifier: MIT -->")
+    assert scan[5] == "spdx:mit" and scan[7] == ["MIT"] and scan[8] is True
+
+
+def brute_truth(expression, allowed):
+    """An expression of and, or and with, by Python's own grammar."""
+    plain = re.sub(r" WITH \S+", "", expression)
+    return eval(re.sub(r"[^\s()]+", lambda m: m[0].lower() if m[0] in ("AND", "OR") else str(m[0] in allowed), plain))
+
+
+def test_notices_that_words_join():
+    scan = license_scan.scanner(tuple(sorted(license_scan.NOTICES.items()))).scan
+    for text, want, usable in (
+        ("Licensed under the Apache License, Version 2.0.", ["apache"], True),
+        ("Licensed under the Apache License, Version 2.0, or the MIT License, at your option.", ["apache OR mit"], True),
+        ("the GNU General Public License version 2 or later with the Classpath exception and the BSD license", ["gpl WITH classpath-exception AND bsd"], False),
+        ("the GNU Lesser General Public License, version 3, or any later version", ["lgpl"], False),
+        ("MIT license. Bread and butter. BSD license or Mozilla Public License or CC BY 4.0", ["mit", "bsd OR mpl OR cc-by"], True),
+        ("CC BY-NC 4.0 or MIT License and all rights reserved", ["cc-by-nc OR mit AND reserved"], False),
+        ("no notice", [], None),
+    ):
+        got = scan(text)
+        assert got[7] == want and got[8] is usable, (text, got)
+        assert ("license-choice" in got[5]) == any(" OR " in e for e in want)
+    random_ = random.Random(4)
+    phrases = {"apache license": "apache", "mit license": "mit", "general public license": "gpl", "all rights reserved": "reserved", "bsd license": "bsd"}
+    for _ in range(300):
+        picks, ops = [random_.choice([*phrases]) for _ in range(5)], [random_.choice(["or", "and", "banana"]) for _ in range(4)]
+        text = picks[0] + "".join(f" {o} the {p}" for o, p in zip(ops, picks[1:], strict=True))
+        whole = phrases[picks[0]] + "".join(f" {o.upper()} {phrases[p]}" for o, p in zip(ops, picks[1:], strict=True))
+        assert scan(text)[7] == whole.split(" BANANA ") and scan(text)[8] is all(brute_truth(e, license_scan.OPEN_LABELS) for e in whole.split(" BANANA "))
 
 
 @pytest.mark.parametrize("kind", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"])
