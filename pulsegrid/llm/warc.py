@@ -21,9 +21,9 @@ from .common import KEY, blocks, chunks, keyed, put_bytes, scratch, written
 
 #: Bytes of records after which a new archive begins, and bytes that the reader inflates at a time.
 ARCHIVE_BYTES, STEP = 32 << 20, 64 << 10
-#: The profile of revisit records, and the date of all records: archives of the same pages are the same bytes.
 #: Stands for a null page id, below all others.
 NO_PAGE = -(1 << 63)
+#: The profile of revisit records, and the date of all records: archives of the same pages are the same bytes.
 PROFILE, DATE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "2024-01-01T00:00:00Z"
 
 
@@ -47,17 +47,29 @@ def member(headers: dict[str, str], block: bytes) -> bytes:
     return squeeze.compress(b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n") + squeeze.flush()
 
 
-def page_record(page_id: int | None, key: int, url: str | None, payload: bytes, refers: int | None, digest: str) -> bytes:
-    """A response with its payload, or a revisit that has the HTTP headers only. Line breaks in a url are percent-escaped."""
+def record_id(page_id: int | None, key: int) -> str:
+    """The id of a page's record; no other record has it, as row keys differ."""
+    return f"<urn:x-page:{'null' if page_id in (None, NO_PAGE) else page_id}:{key}>"
+
+
+def page_of(name: str) -> tuple[int | None, int]:
+    """The page id and row key of a record id."""
+    *_, page, key = name.strip("<>").split(":")
+    return None if page == "null" else int(page), int(key)
+
+
+def page_record(page_id: int | None, key: int, url: str | None, payload: bytes, refers: tuple[int | None, int] | None, digest: str) -> bytes:
+    """A response with its payload, or a revisit that has the HTTP headers only and the id of the response's record.
+
+    Line breaks in a url are percent-escaped; a null url is the page's own name, as a record has to have a target.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if refers is not None else http + payload
-    name = lambda p: f"<urn:page:{'null' if p in (None, NO_PAGE) else p}>"
-    headers = {"WARC-Type": "response" if refers is None else "revisit", "WARC-Record-ID": f"<urn:row:{key}>", "WARC-Concurrent-To": name(page_id), "WARC-Date": DATE, "Content-Type": "application/http; msgtype=response"}
-    if url is not None:
-        headers["WARC-Target-URI"] = "".join(c if c >= " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode("utf-8")) for c in url)
+    block, name = http if refers is not None else http + payload, record_id(page_id, key)
+    target = name.strip("<>") if url is None else "".join(c if c >= " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode("utf-8")) for c in url)
+    headers = {"WARC-Type": "response" if refers is None else "revisit", "WARC-Record-ID": name, "WARC-Date": DATE, "WARC-Target-URI": target, "Content-Type": "application/http; msgtype=response"}
     headers |= {"WARC-Payload-Digest": f"sha1:{digest}", "WARC-Block-Digest": f"sha1:{sha1(block)}"}
     if refers is not None:
-        headers |= {"WARC-Profile": PROFILE, "WARC-Refers-To": name(refers)}
+        headers |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(*refers)}
     return member(headers, block)
 
 
@@ -110,9 +122,8 @@ def parsed(record: Record) -> tuple[int | None, int, int, str, str, int | None]:
     digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
     if h["WARC-Type"] == "response" and (len(payload) != size or sha1(payload) != digest):
         raise WarcError("a payload whose digest doesn't hold")
-    number = lambda x: None if x == "null" else int(x)
-    page = number(h["WARC-Concurrent-To"][10:-1])
-    return page, int(h["WARC-Record-ID"][9:-1]), size, digest, h["WARC-Type"], number(h["WARC-Refers-To"][10:-1]) if "WARC-Refers-To" in h else None
+    page, key = page_of(h["WARC-Record-ID"])
+    return page, key, size, digest, h["WARC-Type"], page_of(h["WARC-Refers-To"])[0] if "WARC-Refers-To" in h else None
 
 
 def digests(pages: DataFrame) -> DataFrame:
@@ -134,8 +145,9 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_
     """Writes a record per page to archives in ``path``, sorted by page id; the stored manifest (file, n_records, n_bytes).
 
     Of pages with equal payloads of at least ``least`` bytes the one with the largest page id (a null id is the smallest; of equal
-    ids the first row) is the response; the others are revisits of it. A null html is an empty payload; a null url leaves out the
-    header. Where all ids of a group are null, its revisits refer to a null id. An empty table gives no archive.
+    ids the first row) is the response; the others are revisits, which refer to its record's id. A null html is an empty payload; a
+    null url becomes the page's own name. Where all ids of a group are null, its revisits refer to a record without a page id. An
+    empty table gives no archive. Other columns are ignored. A page has to fit into a worker's memory, not a group of equal ones.
     """
     df = pages if KEY in pages.columns else keyed(pages)
     page = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_PAGE))
@@ -143,16 +155,16 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_
     groups = written(digests(df), "warc-digests")
     top = groups.groupBy("digest").agg(F.sum("n").alias("all"), F.max(F.struct("page", (-F.col("key")).alias("low"))).alias("top")).where("all > 1")
     links = groups.select("digest", "pages", "keys").join(top, "digest").select(F.explode(F.arrays_zip("pages", "keys")).alias("r"), "top")
-    links = links.where(F.col("r.keys") != -F.col("top.low")).select(F.col("r.pages").alias("page"), F.lit(None).cast("string").alias("html"), F.col("r.keys").alias(KEY), F.lit(None).cast("string").alias("url"), F.col("top.page").alias("to"))
+    links = links.where(F.col("r.keys") != -F.col("top.low")).select(F.col("r.pages").alias("page"), F.lit(None).cast("string").alias("html"), F.col("r.keys").alias(KEY), F.lit(None).cast("string").alias("url"), F.col("top.page").alias("to"), (-F.col("top.low")).alias("to_key"))
 
     def run(batches: Iterator[pa.RecordBatch]):
         part, linked = TaskContext.get().partitionId(), {}
         for seq, block in enumerate(blocks(batches, 1, ARCHIVE_BYTES)):
             out, n = io.BytesIO(), 0
             for rows in block.to_batches(max_chunksize=500):
-                for page, html, key, url, to in zip(*(rows.column(i).to_pylist() for i in range(5)), strict=True):
+                for page, html, key, url, to, to_key in zip(*(rows.column(i).to_pylist() for i in range(6)), strict=True):
                     if html is None:
-                        linked = {key: to}  # its page is the next row
+                        linked = {key: (to, to_key)}  # its page is the next row
                         continue
                     payload = html.encode("utf-8")
                     out.write(page_record(page, key, url, payload, linked.get(key) if len(payload) >= least else None, sha1(payload)))
@@ -163,7 +175,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_
                 yield pa.record_batch([pa.array([file]), pa.array([n], pa.int64()), pa.array([out.tell()], pa.int64())], names=["file", "n_records", "n_bytes"])
 
     # A link comes to its page by the same sort, not by a join, so the html is shuffled once.
-    rows = df.withColumn("to", F.lit(None).cast("long")).union(links)
+    rows = df.withColumn("to", F.lit(None).cast("long")).withColumn("to_key", F.lit(None).cast("long")).union(links)
     rows = rows.repartitionByRange("page").sortWithinPartitions("page", KEY, F.col("html").isNotNull())
     return written(rows.mapInArrow(run, "file string, n_records long, n_bytes long"), "warc-manifest")
 

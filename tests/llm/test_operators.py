@@ -388,13 +388,23 @@ def test_warc(spark, small, tmp_path):
         got = warc.warc_round_trip(frame).collect()
         assert sorted(map(repr, want)) == sorted(repr((repr(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in got)
     assert warc.warc_round_trip(odd.limit(0)).count() == 0
+    manifest = warc.write_warc(odd.repartition(3), f"file://{tmp_path}/w")
+    records = [r for f in manifest.collect() for r in warc.read_records(open(f.file.removeprefix("file://"), "rb"))]
+    by = {r.headers["WARC-Record-ID"]: r for r in records}
+    assert len(by) == len(records) == odd.count()
+    for r in records:
+        assert r.headers["WARC-Target-URI"] and "WARC-Concurrent-To" not in r.headers
+        if r.headers["WARC-Type"] == "revisit":  # links resolve to a response with the very payload
+            found = by[r.headers["WARC-Refers-To"]].headers
+            assert found["WARC-Type"] == "response" and found["WARC-Payload-Digest"] == r.headers["WARC-Payload-Digest"]
+    assert sum(r.headers["WARC-Type"] == "revisit" for r in records) == 5
 
 
 def test_warc_reader_rejects_damage():
     import io
 
     one = warc.page_record(1, 0, "u", b"body" * 50, None, warc.sha1(b"body" * 50))
-    two = warc.page_record(2, 1, "u", b"body" * 50, 1, warc.sha1(b"body" * 50))
+    two = warc.page_record(2, 1, "u", b"body" * 50, (1, 0), warc.sha1(b"body" * 50))
     for step in (1, 7, 1 << 16):
         assert [warc.parsed(r) for r in warc.read_records(io.BytesIO(one + two), step)] == [(1, 0, 200, warc.sha1(b"body" * 50), "response", None), (2, 1, 200, warc.sha1(b"body" * 50), "revisit", 1)]
     wrong = warc.member({"WARC-Block-Digest": "sha1:AAAA"}, b"x")
