@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, chunks, picked, trim, written
+from .common import KEY, OWN, chunks, keyed, picked, trim, written
 
 #: Samples in a row of the stored image.
 WIDTH = 64
@@ -109,18 +109,22 @@ def interleave(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     return picked(pages, id_col, html_col).mapInArrow(run, f"doc_id long, {KEY} long, items {ITEM}")
 
 
-def resolve(items: DataFrame, payloads: DataFrame) -> DataFrame:
-    """A row for each media reference of ``items`` (of ``interleave``): doc_id, the row key, pos, kind, src, caption, and the columns of
-    ``payloads`` with its digest, null where there is none or the reference has no digest.
+def resolve(items: DataFrame, payloads: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each media reference of ``items`` (of ``interleave``): doc_id, the row key, pos, kind, src, caption, the columns ``keep`` of
+    ``items``, and the columns of ``payloads`` with its digest, null where there is none or the reference has no digest.
 
     References are first put together by stretch and digest, so that a payload which a third of all documents show is a
-    few rows of the join, and exploded after it. ``payloads`` has one row per digest.
+    few rows of the join, and exploded after it. ``payloads`` has one row per digest; its columns that are named like one of the
+    reference's come out as payload_<name>.
     """
-    refs = items.select("doc_id", KEY, F.explode("items").alias("m")).where("m.kind <> 'text'")
-    refs = refs.withColumn("stretch", F.expr(f"{KEY} div 4096"))
-    packed = refs.groupBy("stretch", F.col("m.digest").alias("digest")).agg(F.collect_list(F.struct("doc_id", F.col(KEY), "m.pos", "m.kind", "m.src", "m.caption")).alias("refs"))
-    found = packed.join(payloads, "digest", "left")
-    return found.select("*", F.explode("refs").alias("r")).drop("refs", "stretch").select("r.*", "*").drop("r")
+    refs = items.select("doc_id", KEY, *keep, F.explode("items").alias("m")).where("m.kind <> 'text'")
+    own = ["doc_id", KEY, "pos", "kind", "src", "caption", *keep]
+    packed = refs.groupBy(F.expr(f"{KEY} div 4096").alias(OWN + "stretch"), F.col("m.digest").alias(OWN + "digest"))
+    packed = packed.agg(F.collect_list(F.struct("doc_id", KEY, "m.pos", "m.kind", "m.src", "m.caption", *keep)).alias(OWN + "refs"))
+    names = {c: f"payload_{c}" if c in own else c for c in payloads.columns if c != "digest"}
+    found = packed.join(payloads.select(F.col("digest").alias(OWN + "digest"), *(F.col(f"`{c}`").alias(n) for c, n in names.items())), OWN + "digest", "left")
+    found = found.select(F.explode(OWN + "refs").alias(OWN + "ref"), F.col(OWN + "digest").alias("digest"), *names.values())
+    return found.select(*(F.col(f"{OWN}ref.{c}").alias(c) for c in own), "digest", *names.values())
 
 
 def pgm(payload: bytes) -> bytes:
@@ -157,8 +161,35 @@ def feature(image: np.ndarray) -> str:
     return f"mean={mean:.4f};std={spread:.4f};entropy={abs(-(share * np.log2(share)).sum()):.4f};dhash={bits}"
 
 
-def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Stores each document's padded text as an image: (references with html, the stored table of digest, n_bytes and media).
+def digest_of(raw: bytes) -> str:
+    """The name of a text's payload: a digest of the payload and of the length that it has without its padding."""
+    return hashlib.sha256(padded(raw) + len(raw).to_bytes(8, "little")).hexdigest()
+
+
+def page_of(text: str) -> str:
+    """A document as a page: a paragraph for each of its lines that isn't blank, and the figure of its payload, with a caption, between the halves."""
+    raw = text.encode("utf-8")
+    digest = digest_of(raw)
+    runs = [f"<p>{markup.escape(line)}</p>" for line in text.split("\n") if line.strip()]
+    figure = f'<figure><img src="media:{digest[:16]}.pgm" data-sha256="{digest}"><figcaption>{len(raw)} bytes as an image</figcaption></figure>'
+    half = len(runs) // 2
+    return "".join(["<article>", *runs[:half], figure, *runs[half:], "</article>"])
+
+
+def text_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, the row key, html): each document as a page. Nothing is stored; a null text is a page with the figure only."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for part in chunks(batch, 1, 4 << 20):
+                yield pa.record_batch([part.column(0), part.column(2), pa.array([page_of(t) for t in part.column(1).to_pylist()], pa.string())], names=["doc_id", KEY, "html"])
+            trim()
+
+    return picked(docs, id_col, text_col).mapInArrow(run, f"doc_id long, {KEY} long, html string")
+
+
+def store_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Stores each padded text as an image: the stored table (digest, n_bytes, media).
 
     Equal texts of a stretch are stored once; the same payload from several stretches is stored by each, and ``payloads_of``
     counts it once, so no payload is ever shuffled.
@@ -166,26 +197,13 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for part in chunks(batch, 1, 4 << 20):
-                seen: set[str] = set()
-                ids, keys, pages, names, sizes, media = [], [], [], [], [], []
-                for doc, text, key in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
-                    raw = text.encode("utf-8")
-                    payload = padded(raw)
-                    digest = hashlib.sha256(payload + len(raw).to_bytes(8, "little")).hexdigest()
-                    fresh = digest not in seen
-                    seen.add(digest)
-                    ids.append(doc)
-                    keys.append(key)
-                    names.append(digest)
-                    sizes.append(len(raw))
-                    pages.append(f'<figure><img src="media:{digest[:16]}.pgm" data-sha256="{digest}"><figcaption>{markup.escape(f"document {doc}")}</figcaption></figure>')
-                    media.append(pgm(payload) if fresh else None)
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(pages), pa.array(names), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", KEY, "html", "digest", "n_bytes", "media"])
+            for part in chunks(batch, 0, 4 << 20):
+                raws = {digest_of(raw): raw for raw in map(str.encode, part.column(0).to_pylist())}
+                yield pa.record_batch([pa.array(list(raws)), pa.array([len(r) for r in raws.values()], pa.int64()), pa.array([pgm(padded(r)) for r in raws.values()], pa.binary())], names=["digest", "n_bytes", "media"])
             trim()
 
-    table = written(picked(docs, id_col, text_col).mapInArrow(run, f"doc_id long, {KEY} long, html string, digest string, n_bytes long, media binary"), "media")
-    return table.select("doc_id", KEY, "html"), table.where("media is not null").select("digest", "n_bytes", "media")
+    texts = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias(OWN + "text"))
+    return written(texts.mapInArrow(run, "digest string, n_bytes long, media binary"), "media")
 
 
 def payloads_of(stored: DataFrame) -> DataFrame:
@@ -210,13 +228,25 @@ COLUMNS = ["digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32",
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document as an interleaved page of one image, stored, parsed and resolved by digest.
+    """Each document as an interleaved page of its lines and one image, which is stored, referred to, resolved by digest and read back.
 
-    A null text counts as empty, which is one row of zeros. Ids may be null or repeat; each row has its own result, and equal texts
-    have equal values. An empty table gives no rows. Other columns are ignored. A text has to fit into a worker's memory.
+    Beside the payload's columns: ``pos`` and ``caption`` of the reference, ``n_items`` of the sequence and ``runs_sha256``, of its text
+    runs joined by line breaks. A null text counts as empty, which is one row of zeros. Ids may be null or repeat; each row has
+    its own result, and equal texts have equal values in all columns but the id. An empty table gives no rows. Other columns are
+    ignored. A text has to fit into a worker's memory.
     """
-    pages, stored = store_texts(docs, id_col, text_col)
-    items = interleave(pages, "doc_id", "html")
-    return resolve(items, payloads_of(stored)).select("doc_id", *COLUMNS[1:], "pos", "caption")
+    df = docs if KEY in docs.columns else keyed(docs)
+    items = interleave(text_pages(df, id_col, text_col), "doc_id", "html")
+    runs = F.transform(F.filter("items", lambda x: x["kind"] == "text"), lambda x: x["text"])
+    items = items.select("doc_id", KEY, "items", F.size("items").alias("n_items"), F.sha2(F.concat_ws("\n", runs).cast("binary"), 256).alias("runs_sha256"))
+    return resolve(items, payloads_of(store_texts(df, text_col)), ("n_items", "runs_sha256")).select("doc_id", *COLUMNS[1:], "pos", "caption", "n_items", "runs_sha256")
+
 
+def page_sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(page_id, n_items, n_media, chars, runs_sha256) of each page's sequence: its items, media references, code points of its text runs, and their digest.
 
+    Null and empty html have no items. Ids may be null or repeat. An empty table gives no rows. Other columns are ignored.
+    """
+    texts = F.transform(F.filter("items", lambda x: x["kind"] == "text"), lambda x: x["text"])
+    chars = F.aggregate(texts, F.lit(0), lambda a, t: a + F.char_length(t)).cast("long")
+    return interleave(pages, id_col, html_col).select(F.col("doc_id").alias("page_id"), F.size("items").alias("n_items"), F.size(F.filter("items", lambda x: x["kind"] != "text")).alias("n_media"), chars.alias("chars"), F.sha2(F.concat_ws("\n", texts).cast("binary"), 256).alias("runs_sha256"))

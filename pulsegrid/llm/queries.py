@@ -52,6 +52,11 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(_table(spark, sf_dir, "documents"))
 
 
+def interleaved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequences of the web pages themselves; op8's are of documents."""
+    return media.page_sequences(_table(spark, sf_dir, "pages"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(_table(spark, sf_dir, "pages"))
 
@@ -63,7 +68,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_exact_dedup, op2_token_codes, op3_license_scan, op4_quality, op5_bpe, op6_toxicity, op7_jaccard_join, op8_media, op9_warc, op10_mixing)
+    own = (op1_exact_dedup, op2_token_codes, op3_license_scan, op4_quality, op5_bpe, op6_toxicity, op7_jaccard_join, op8_media, op9_warc, op10_mixing, interleaved_pages)
     return {f.__name__: f for f in own}
 
 

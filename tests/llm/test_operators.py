@@ -2,10 +2,12 @@
 
 import base64
 import hashlib
+import html as markup
+import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
@@ -344,6 +346,21 @@ def test_components(spark):
     assert got == root
 
 
+def brute_feature(payload):
+    """Mean, spread, entropy and the difference hash of an image 64 samples wide, a sample at a time."""
+    n, height = len(payload), len(payload) // 64
+    mean = sum(payload) / n
+    spread = math.sqrt(max(0.0, sum(v * v for v in payload) / n - mean * mean))
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(payload).values())
+    grid = []
+    for i in range(8):
+        top, end = i * height // 8, (i + 1) * height // 8
+        band = range(top, max(top + 1, end))
+        grid.append([sum(payload[r * 64 + j * 8 + x] for r in band for x in range(8)) / (8 * len(band)) for j in range(8)])
+    bits = "".join("1" if row[j] > row[(j + 1) % 8] else "0" for row in grid for j in range(8))
+    return mean, spread, entropy, f"{int(bits, 2):016x}"
+
+
 def test_media(spark, docs, odd, empty):
     for frame, rows in rows_of(docs, odd):
         want = []
@@ -351,13 +368,39 @@ def test_media(spark, docs, odd, empty):
             raw = t.encode()
             payload = raw + bytes(-len(raw) % 64) if raw else bytes(64)
             stored = b"P5\n64 %d\n255\n" % (len(payload) // 64) + payload
-            want.append((repr(i), len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), media.feature(np.frombuffer(payload, np.uint8).reshape(-1, 64))))
+            lines = [" ".join(x.split()) for x in t.split("\n") if x.strip()]
+            said = hashlib.sha256("\n".join(lines).encode()).hexdigest()
+            want.append((repr(i), len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), len(lines) // 2, f"{len(raw)} bytes as an image", len(lines) + 1, said))
         got = media.text_media(frame).collect()
-        assert sorted((repr(r.doc_id), r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) for r in got) == sorted(want)
-        assert all(r.caption == f"document {r.doc_id}" and r.pos == 0 for r in got)
+        assert sorted((repr(r.doc_id), r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.pos, r.caption, r.n_items, r.runs_sha256) for r in got) == sorted(want)
+        values = defaultdict(set)
+        for r in got:
+            values[r.payload_sha256, r.n_bytes].add(tuple(r)[1:])
+        assert all(len(v) == 1 for v in values.values())
+        known = {hashlib.sha256(p).hexdigest(): brute_feature(p) for p in ((t.encode() + bytes(-len(t.encode()) % 64)) or bytes(64) for _, t, _ in rows if len(t) < 30_000)}
+        for r in got:
+            if r.payload_sha256 in known:
+                found = dict(x.split("=") for x in r.feature.split(";"))
+                mean, spread, entropy, bits = known[r.payload_sha256]
+                assert abs(float(found["mean"]) - mean) < 1e-3 and abs(float(found["std"]) - spread) < 1e-3 and abs(float(found["entropy"]) - entropy) < 1e-3
+                assert bin(int(found["dhash"], 16) ^ int(bits, 16)).count("1") <= 1  # equal means may round either way
     assert media.text_media(empty).count() == 0
 
 
+def test_page_sequences(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        shown = re.sub(r"(?s)<(script|style|head|noscript|template)\b.*?</\1>|<!--.*?-->|<![^>]*>", "", r.html)
+        want[r.page_id] = "".join("".join(re.split(r"<[^>]*>", shown)).split())
+    for r in media.interleave(pages).collect():
+        assert "".join("".join(x.text.split()) for x in r["items"] if x.kind == "text") == "".join(markup.unescape(want[r.doc_id]).split())
+        assert [x.pos for x in r["items"]] == [*range(len(r["items"]))]
+    out = media.page_sequences(pages).collect()
+    assert len(out) == len(want) and all(r.n_items > 1 and r.n_media == 0 and r.chars > 0 for r in out)
+    assert [tuple(r)[:4] for r in media.page_sequences(spark.createDataFrame([(None, None)], "page_id long, html string")).collect()] == [(None, 0, 0, 0)]
+
+
 def test_interleaved_sequence():
     html = '<head><title>t</title></head><p>One &amp; <b>two</b><img src=a.png alt=A data-sha256=AB> three</p><figure><img src=b.png><video><source src=v.mp4></video><figcaption>Both <i>of</i> them</figcaption></figure><script>no</script>end'
     got = [(x["pos"], x["kind"], x["text"] or x["src"], x["caption"], x["digest"]) for x in media.sequence(html)]
@@ -367,7 +410,8 @@ def test_interleaved_sequence():
 
 def test_resolve_keeps_what_has_no_payload(spark):
     pages = spark.createDataFrame([(1, '<img src=a data-sha256=aa><img src=b data-sha256=zz><img src=c>'), (2, None), (None, '<img src=a data-sha256=AA>')], "page_id long, html string")
-    payloads = spark.createDataFrame([("aa", 7)], "digest string, n long")
+    payloads = spark.createDataFrame([("aa", 7, "p", "q")], "digest string, n long, doc_id string, refs string")
+    assert {(r.payload_doc_id, r.refs) for r in media.resolve(media.interleave(pages), payloads).collect()} == {("p", "q"), (None, None)}
     got = sorted(((r.doc_id, r.pos, r.src, r.n) for r in media.resolve(media.interleave(pages), payloads).collect()), key=repr)
     assert got == sorted([(1, 0, "a", 7), (1, 1, "b", None), (1, 2, "c", None), (None, 0, "a", 7)], key=repr)
     assert media.interleave(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")).where("size(items) = 0").count() == 0
