@@ -32,9 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/pulsegrid-shared"
 
 
+#: Paths in the shared folder that this driver has given out, in order.
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path for one run's files in the shared folder."""
-    return f"{shared_dir(spark)}/pulsegrid/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(f"{shared_dir(spark)}/pulsegrid/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}")
+    return _made[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -44,11 +49,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete this application's files in the shared folder; results that read them must be written before."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/pulsegrid/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/pulsegrid/{spark.sparkContext.applicationId}")
+    _made.clear()
+
+
+@contextlib.contextmanager
+def released(spark: SparkSession):
+    """Deletes what is stored inside the block once it ends, but for the table that it gives to the function it gets, which returns it.
+
+    Only a table that is written whole inside the block may be read after it.
+    """
+    start, kept = len(_made), []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(_made[-1])
+        return table
+
+    yield keep
+    for path in _made[start:]:
+        if path not in kept:
+            _delete(spark, path)
+    _made[start:] = [p for p in _made[start:] if p in kept]
 
 
 def put_bytes(uri: str, data: bytes) -> None:
@@ -163,12 +191,14 @@ def components(edges: DataFrame, name: str, rounds: int = 50) -> DataFrame:
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
     before = None
     for _ in range(rounds):
+        last = _made[-1]
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small_low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         e = written(small, f"{name}-edges")
+        _delete(e.sparkSession, last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first()
         if now == before or now[0] == 0:
             break

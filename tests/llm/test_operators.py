@@ -72,6 +72,16 @@ def test_keys_are_the_same_however_the_scan_is_split(spark, tmp_path):
             assert len(splits) == 2 and [seen[0][k] for k in sorted(seen[0])] == list(range(9000))
 
 
+def test_released_deletes_all_but_what_is_kept(spark):
+    with common.released(spark) as kept:
+        common.written(spark.range(3), "a")
+        table = kept(common.written(spark.range(5), "b"))
+        gone = common._made[-2]
+    assert table.count() == 5 and common._made[-1] != gone
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(gone)
+
+
 def test_dedup(docs, odd, empty):
     for frame, rows in rows_of(docs, odd):
         groups = defaultdict(list)
@@ -572,7 +582,64 @@ def test_classifiers_on_held_out_documents(spark):
         right = (out.predicted == out.y).mean()
         recall = out.predicted[out.y == 1].mean()
         print(name, len(out), right, recall, out.predicted[out.y == 0].mean())
-        assert right > {"toxic": 0.93, "quality": 0.97}[name] and recall > {"toxic": 0.6, "quality": 0.97}[name]  # 260 positives train the first
+        assert right > {"toxic": 0.95, "quality": 0.97}[name] and recall >= {"toxic": 0.9, "quality": 0.97}[name]  # 305 positives train the first
+
+
+U64, GOLD = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+
+def mix64(v):
+    v = ((v ^ v >> 32) * GOLD) & U64
+    return v ^ v >> 29
+
+
+def brute_toxicity(model, text):
+    """The score of a text by plain loops: the best passage's mean over its distinct words of the mean of a word's vectors."""
+    words = text.lower().split()
+    count = max(1, -(-len(words) // toxicity.PASSAGE))
+    best = -math.inf
+    for k in range(count):
+        passage = {*words[len(words) * k // count : len(words) * (k + 1) // count]}
+        total = 0.0
+        for w in passage:
+            framed, keys = f"<{w}>", []
+            for n in toxicity.GRAMS:
+                for a in range(len(framed) - n + 1):
+                    v = 0
+                    for c in framed[a : a + n]:
+                        v = (v * 0x100000001B3 + ord(c)) & U64
+                    keys.append(v + GOLD * n & U64)
+            keys.append(sum(mix64(ord(c) + a * GOLD & U64) for a, c in enumerate(framed)) & U64)
+            total += sum(float(model.rows[mix64(x) >> 47]) for x in keys) / len(keys)
+        best = max(best, total / max(toxicity.EVIDENCE, len(passage)))
+    return 1 / (1 + math.exp(-(best + model.bias + model.length * math.log(count))))
+
+
+def brute_quality(model, text):
+    """The score of a text by sets of its n-grams."""
+    import pandas as pd
+
+    h = lambda x: int(pd.util.hash_array(np.array([x], object), categorize=False)[0])
+    shape = lambda w: quality.shapes(pa.array([w]))[0].as_py()
+    words, p = text.split(), 0xC2B2AE3D27D4EB4F
+    a = [h(w) for w in words]
+    b = [h(shape(w)) + (k > 0 and words[k - 1] == w) * GOLD & U64 for k, w in enumerate(words)]
+    grams = [*a, *(x * p + y & U64 for x, y in zip(a[:-1], a[1:], strict=True)), *(x + 1 & U64 for x in b), *(x * p + y + 2 & U64 for x, y in zip(b[:-1], b[1:], strict=True)), *((x * p + y) * p + z + 3 & U64 for x, y, z in zip(b[:-2], b[1:-1], b[2:], strict=True))]
+    rows = {r for r in (mix64(v) >> 44 for v in grams) if model.rows[r] != 0}
+    margin = sum(float(model.rows[r]) for r in rows) / math.sqrt(max(1, len(rows))) + model.bias
+    return 1 / (1 + math.exp(-max(-500.0, min(500.0, model.slope * margin + model.offset))))
+
+
+def test_scores_equal_brute_force(docs, odd, small, spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    train = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for fit, score, brute in ((toxicity.fit_toxicity, toxicity.score_toxicity, brute_toxicity), (quality.fit_quality, quality.score_quality, brute_quality)):
+        model = fit(train, labels)
+        assert np.abs(model.rows).max() > 0
+        for frame, rows in rows_of(docs.where("length(text) < 6000"), odd.where("length(text) < 6000 or text is null")):
+            want = sorted((repr(i), brute(model, t)) for i, t, _ in rows if "\x1c" not in t)
+            got = sorted((repr(r.doc_id), r.score) for r in score(frame.where("text is null or not contains(text, '\x1c')"), model).collect())
+            assert [w[0] for w in want] == [g[0] for g in got] and np.allclose([w[1] for w in want], [g[1] for g in got], atol=1e-5)
 
 
 def test_classifiers_on_odd_rows(odd, empty, spark):
