@@ -1,9 +1,10 @@
 """Byte-level BPE over a corpus: each distinct word is encoded once.
 
-Encoding splits each stretch of documents into pre-tokens and explodes its distinct ones, a row each with its slot in the stretch.
-The rows are shuffled and sorted by word, so each distinct word of the corpus is encoded once, whatever the number of words in a
-partition; the ids go back to their stretch by a second shuffle and are put at the positions of their slots. The positions
-themselves, a slot number for each pre-token, are by far the most of it; they wait in the shared folder and aren't shuffled.
+Encoding splits each stretch of documents into pre-tokens and gives every distinct one of the stretch a slot. The slots, a word
+each, are shuffled by buckets of words, of which there are more the larger the scan is, so each distinct word of the corpus meets its
+equals in one bucket and is encoded once; the ids go back to their stretch by a second shuffle and are put at the positions of
+their slots. The positions themselves, a slot number for each pre-token, are by far the most of it; they wait in the shared folder and
+aren't shuffled. A row for each word instead of each stretch and bucket was tried: it shuffles three times as much.
 Decoding joins ids with the token-byte table, which has as many rows as the vocabulary, whatever the corpus: a broadcast join.
 """
 
@@ -13,6 +14,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ from .token_codes import coded, ragged, splitter
 
 #: Bytes of text in a stretch, and pre-tokens that are put together at a time.
 BLOCK_BYTES, STEP = 8 << 20, 400_000
+#: Distinct words that a worker keeps the ids of, at most.
+KNOWN = 400_000
 #: Entries of the token-byte table at most: it is broadcast.
 VOCABULARY = 1 << 20
 
@@ -76,8 +80,23 @@ def _name(folder: str, stretch: int) -> str:
     return f"{folder}/{stretch >> 32:06d}-{stretch & 0xFFFFFFFF:05d}"
 
 
-def _stretches(folder: str, pattern: str, size: int):
-    """Stage 1: positions to the shared folder, and a row for each distinct word of a stretch. A repeated task writes the same bytes."""
+def pack_words(words: list[bytes], slots: np.ndarray) -> bytes:
+    """Some words and their slots."""
+    body = b"".join(words)
+    small = pa.compress(body, codec="zstd", asbytes=True)
+    return struct.pack("<QQ", len(body), len(small)) + small + pack(np.fromiter(map(len, words), np.int64, len(words)), slots)
+
+
+def unpack_words(data: bytes) -> tuple[list[bytes], np.ndarray]:
+    size, small = struct.unpack_from("<QQ", data, 0)
+    body = pa.decompress(data[16 : 16 + small], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+    lengths, slots = unpack(data[16 + small :])
+    ends = starts_of(lengths.astype(np.int64)).tolist()
+    return [body[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], slots
+
+
+def _stretches(folder: str, pattern: str, size: int, buckets: int):
+    """Stage 1: positions to the shared folder, and a row for each stretch and bucket of its distinct words. A repeated task writes the same bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         split, part = splitter(pattern), TaskContext.get().partitionId()
@@ -92,48 +111,62 @@ def _stretches(folder: str, pattern: str, size: int):
                 out.write_table(docs.combine_chunks())
             head = sink.getvalue().to_pybytes()
             put_bytes(_name(folder, stretch), struct.pack("<Q", len(head)) + head + pack(slot[codes]))
-            found = pa.table({"stretch": np.full(len(words), stretch), "slot": slot.astype(np.int32), "word": words.cast(pa.binary())})
-            if not len(words):  # its documents have no ids, but have rows
-                found = pa.table({"stretch": pa.array([stretch], pa.int64()), "slot": pa.array([-1], pa.int32()), "word": pa.array([b""], pa.binary())})
-            del words, codes, slot, order, block
-            yield from found.to_batches(max_chunksize=20_000)
+            del codes, block, docs
+            raw = words.cast(pa.binary()).to_pylist()
+            bucket = np.fromiter((crc32(w) % buckets for w in raw), np.int64, len(raw))
+            by = np.argsort(bucket, kind="stable")
+            cuts = [0, *(np.flatnonzero(np.diff(bucket[by])) + 1).tolist(), len(raw)]  # without words one empty row, for the documents
+            packed, places = [], []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                own = sorted(by[a:b].tolist(), key=raw.__getitem__)
+                packed.append(pack_words([raw[k] for k in own], slot[own]))
+                places.append(int(bucket[own[0]]) if own else 0)
+            yield pa.record_batch([pa.array(places, pa.int32()), pa.array([stretch] * len(packed), pa.int64()), pa.array(packed, pa.binary())], names=["bucket", "stretch", "words"])
+            del words, raw, packed, slot, order
             trim()
 
     return run
 
 
-def _encoded(shared, pattern: str):
-    """Stage 2: rows come sorted by word, so the rows of a word stand side by side and it is encoded once; nothing is kept but the last word."""
+def _encoded(shared, pattern: str, most: int):
+    """Stage 2: rows come sorted by bucket, and a bucket's words are encoded once each.
+
+    What is kept is one bucket's words; should it have more than ``most`` distinct ones, they are forgotten and the count begins anew,
+    so memory is bounded whatever the corpus, and a few words are encoded again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]):
-        one, last, held = piece_encoder(shared, pattern), None, b""
+        one, known, now = piece_encoder(shared, pattern), {}, None
         for batch in batches:
-            found = batch.column(2).dictionary_encode()
-            packed = []
-            for word in found.dictionary.to_pylist():
-                if word != last:
-                    last, held = word, np.asarray(one(word) if word else [], "<u4").tobytes()
-                packed.append(held)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(packed, pa.binary()).take(found.indices)], names=["stretch", "slot", "ids"])
+            for bucket, stretch, packed in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if bucket != now or len(known) > most:
+                    known, now = {}, bucket
+                words, slots = unpack_words(packed)
+                for w in words:
+                    if w not in known:
+                        known[w] = np.asarray(one(w), "<u4").tobytes()
+                ids = [known[w] for w in words]
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                yield pa.record_batch([pa.array([stretch]), pa.array([pack(slots, sizes, np.frombuffer(b"".join(ids), "<u4"))], pa.binary())], names=["stretch", "ids"])
+        del known
         trim()
 
     return run
 
 
-def _assembled(folder: str, stretch: int, slots: list[pa.Array], packed: list[pa.Array], step: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, row key, ids) of a stretch: the ids of its words, which come sorted by slot, at the words' positions."""
+def _assembled(folder: str, stretch: int, packed: list[bytes], step: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, row key, ids) of a stretch: the ids of its words at the words' positions."""
     data = get_bytes(_name(folder, stretch))
     size = struct.unpack_from("<Q", data)[0]
     docs = pa.ipc.open_stream(data[8 : 8 + size]).read_all()
     codes = unpack(data[8 + size :])[0]
     del data
-    there = pa.concat_arrays(slots).to_numpy()
-    ids = [x for part in packed for x in part.to_pylist()]
-    if len(codes) and not (len(there) == there[-1] + 1 and there[0] == 0):
-        raise ValueError(f"stretch {stretch} has {len(there)} of its words")
-    bounds = starts_of(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
-    flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-    del ids
+    slots, sizes, flat = (np.concatenate(x) for x in zip(*map(unpack, packed), strict=True))
+    order = np.argsort(slots)
+    if len(order) and (slots[order] != np.arange(len(order))).any() or len(codes) and int(codes.max()) >= len(order):
+        raise ValueError(f"stretch {stretch} lacks some of its words")
+    flat, sizes = ragged(flat.astype(np.int32), starts_of(sizes.astype(np.int64)), order)
+    bounds = starts_of(sizes)
     ends, first = starts_of(docs.column("n").to_numpy()), 0
     while first < docs.num_rows:
         last = max(first + 1, int(np.searchsorted(ends, ends[first] + step, side="right")) - 1)
@@ -149,23 +182,18 @@ def _by_stretch(folder: str, finish, step: int):
     """Stage 3: the rows of a stretch stand side by side; ``finish`` takes each batch of its documents, about ``step`` pre-tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        now, slots, packed = None, [], []
+        now, packed = None, []
         for batch in batches:
-            stretch = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(stretch)) + 1).tolist(), len(stretch)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
-                if now is not None and stretch[a] != now:
-                    yield from map(finish, _assembled(folder, now, slots, packed, step))
-                    slots, packed = [], []
+            for stretch, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if now is not None and stretch != now:
+                    yield from map(finish, _assembled(folder, now, packed, step))
+                    packed = []
                     trim()
-                now = int(stretch[a])
-                slots.append(batch.column(1).slice(a, b - a))
-                packed.append(batch.column(2).slice(a, b - a))
+                now = stretch
+                packed.append(words)
         if now is not None:
-            yield from map(finish, _assembled(folder, now, slots, packed, step))
-        del slots, packed
+            yield from map(finish, _assembled(folder, now, packed, step))
+        del packed
         trim()
 
     return run
@@ -174,9 +202,11 @@ def _by_stretch(folder: str, finish, step: int):
 def _encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str, text_col: str, finish, schema: str) -> DataFrame:
     spark = docs.sparkSession
     shared, folder = spark.sparkContext.broadcast(ranks), scratch(spark, "stretches")
-    words = picked(docs, id_col, text_col).mapInArrow(_stretches(folder, pattern, BLOCK_BYTES), "stretch long, slot int, word binary")
-    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded(shared, pattern), "stretch long, slot int, ids binary")
-    return ids.repartition("stretch").sortWithinPartitions("stretch", "slot").mapInArrow(_by_stretch(folder, finish, STEP), schema)
+    rows = picked(docs, id_col, text_col)
+    buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * rows.rdd.getNumPartitions())
+    words = rows.mapInArrow(_stretches(folder, pattern, BLOCK_BYTES, buckets), "bucket int, stretch long, words binary")
+    ids = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encoded(shared, pattern, KNOWN), "stretch long, ids binary")
+    return ids.repartition("stretch").sortWithinPartitions("stretch").mapInArrow(_by_stretch(folder, finish, STEP), schema)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -262,6 +262,7 @@ def test_bpe(docs, odd, empty, kind, monkeypatch):
     assert bpe.decode(bpe.encode(empty, ranks, P.PATTERN), ranks).count() == 0 and bpe.round_trip(empty, ranks, P.PATTERN).count() == 0
     monkeypatch.setattr(bpe, "BLOCK_BYTES", 3000)  # many stretches to a partition
     monkeypatch.setattr(bpe, "STEP", 50)
+    monkeypatch.setattr(bpe, "KNOWN", 20)
     frame = odd.coalesce(1)
     assert sorted((repr(r.doc_id), r.ids) for r in bpe.encode(frame, ranks, P.PATTERN).collect()) == sorted((repr(i), own.encode_ordinary(t or "")) for i, t, _ in ODD)
 
@@ -274,9 +275,12 @@ def test_decode_odd_ids(spark):
         bpe.decode(spark.createDataFrame([(1, [10**6])], "doc_id long, ids array<int>"), ranks).collect()
 
 
-def test_packed_numbers():
+def test_packed_numbers_and_words():
     for a in (np.zeros(0, np.int64), np.arange(1000), np.array([2**32 - 1])):
         assert (bpe.unpack(bpe.pack(a, a))[1] == a).all()
+    words, slots = bpe.unpack_words(bpe.pack_words([b"", b"a", b"\xff\x00"], np.array([3, 1, 2])))
+    assert words == [b"", b"a", b"\xff\x00"] and slots.tolist() == [3, 1, 2]
+    assert bpe.unpack_words(bpe.pack_words([], np.zeros(0)))[0] == []
 
 
 def brute_links(texts):
