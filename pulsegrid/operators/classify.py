@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import maths
 
+from .ordered import cumulative
+
 
 def confusion(df: DataFrame, classes: int, keys: tuple[str, ...] = (), label: str = "label", pred: str = "pred") -> DataFrame:
     """(keys, label, pred, n) of all classes by classes, cells without rows included. The classes are a fixed few."""
@@ -42,18 +43,16 @@ def mean_probabilities(probs: DataFrame, keys: list[str], p: str = "p", label: s
 
 
 def auc_roc(df: DataFrame, score: str, y: str) -> DataFrame:
-    """Area under the ROC curve with average ranks of ties, from counts by score."""
+    """Area under the ROC curve with average ranks of ties, from running counts by score."""
     per = df.groupBy(score).agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) == 0).alias("q"))
-    below = F.coalesce(F.sum("q").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    won = per.select("p", "q", (F.col("p") * (below + F.col("q") / 2)).alias("u"))
+    won = cumulative(per, score, ["q"]).select("p", "q", (F.col("p") * (F.col("before_q") + F.col("q") / 2)).alias("u"))
     return won.agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.try_divide(F.sum("u"), F.sum("p") * F.sum("q")).alias("auc"))
 
 
 def average_precision(df: DataFrame, score: str, y: str) -> DataFrame:
-    """Step integral of precision over recall, ties as one step, from counts by score."""
+    """Step integral of precision over recall, ties as one step, from running counts by score."""
     per = df.groupBy(score).agg(F.count_if(F.col(y) == 1).alias("p"), F.count("*").alias("n"))
-    up = W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    steps = per.select("p", F.sum("p").over(up).alias("tp"), F.sum("n").over(up).alias("all"))
+    steps = cumulative(per, score, ["p", "n"]).select("p", (F.col("all_p") - F.col("before_p")).alias("tp"), (F.col("all_n") - F.col("before_n")).alias("all"))
     return steps.agg(F.try_divide(F.sum(F.col("p") * F.col("tp") / F.col("all")), F.sum("p")).alias("average_precision"))
 
 
@@ -64,11 +63,27 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return c.crossJoin(F.broadcast(all_)).select(label, "n_k", (F.col("n") / (F.col("classes") * F.col("n_k"))).alias("weight"))
 
 
-def draws(n: Column, rounds: int, seed: int, df: DataFrame) -> DataFrame:
-    """An index table (b, i, at) of ``rounds`` resamples with replacement of ``n`` rows (a column of a one-row frame), by arithmetic alone.
+def numbered(df: DataFrame, key: str, name: str = "at") -> DataFrame:
+    """``df``, whose ``key`` is a number that doesn't repeat, with each row's place in its order, from 0."""
+    return cumulative(df.withColumn("_one", F.lit(1)), key, ["_one"]).withColumn(name, F.col("before__one").cast("long")).drop("_one", "before__one", "all__one")
+
+
+def hashed_draw(parts: list[Column], n: Column) -> Column:
+    """A whole number below ``n``, from 60 bits of a digest of the parts: the same at every run and on every engine with MD5, for any ``n`` up to 2^59."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("-", *(p.cast("string") for p in parts))), 1, 15), 16, 10).cast("long"), n)
+
+
+def draws(n: DataFrame, rounds: int, seed: int, block: int = 1) -> DataFrame:
+    """(b, i, at): ``rounds`` moving-block resamples with replacement, each of as many rows as ``n`` (a row with a column n) says.
 
-    at = (a * b + c * i + (i * i) * b) modulo a prime above any n, modulo n: the same everywhere, no random state.
+    A round draws ceil(n / block) starts among the n - block + 1 blocks, puts the blocks together and cuts them to n; a block of 1
+    draws single rows. The rounds are dealt to all tasks, and a round's rows are made in stretches, so no array grows with n.
     """
-    b = df.select(n.alias("n")).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
-    at = F.pmod(F.pmod(F.lit(seed) * F.col("b") + F.lit(48271) * F.col("i") + F.col("i").cast("long") * F.col("i") * F.col("b"), F.lit(1000003)), F.col("n"))
-    return b.select("b", "i", at.cast("long").alias("at"))
+    spark = n.sparkSession
+    some = F.broadcast(n.select(F.col("n").cast("long").alias("n")).where("n > 0"))
+    b = spark.range(1, rounds + 1, 1, min(rounds, 64)).withColumnRenamed("id", "b").crossJoin(some)
+    size = 4096 * block
+    b = b.select("b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(size).cast("long"))).alias("from"))
+    b = b.select("b", "n", F.explode(F.sequence("from", F.least(F.col("from") + size, F.col("n")) - 1)).alias("i"))
+    start = hashed_draw([F.lit(seed), F.col("b"), F.floor(F.col("i") / block)], F.greatest(F.col("n") - (block - 1), F.lit(1)))
+    return b.select("b", "i", (start + F.pmod(F.col("i"), F.lit(block))).alias("at"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import maths
 
 from .intervals import bucket_join
+from .ordered import grid_quantiles
 
 
 def hits(intervals: DataFrame, labels: DataFrame, slack: int = 300) -> DataFrame:
@@ -19,26 +20,30 @@ def hits(intervals: DataFrame, labels: DataFrame, slack: int = 300) -> DataFrame
 def event_metrics(intervals: DataFrame, labels: DataFrame, slack: int = 300) -> DataFrame:
     """One row: TP counts labels that some interval hits, FP intervals without a label; equal labels and intervals count once.
 
-    Precision and recall are rounded half-even to four places and F1 is of the rounded ones. Where nothing can be scored the row has
-    zeros and ``scored`` is false.
+    Precision and recall are rounded half-even to four places and F1 is of the rounded ones; density is the mean number of labels of an
+    interval that hits any, to two places. Where nothing can be scored the row has zeros and ``scored`` is false. Intervals and labels
+    meet in one full outer join, so each is read once.
     """
-    i, t = intervals.distinct(), labels.select("t").distinct()
-    hit = hits(i, t, slack)
-    one = hit.agg(F.count_distinct("t").alias("tp"), F.count_distinct("start_t", "end_t").alias("hit"))
-    row = one.crossJoin(i.agg(F.count("*").alias("n_intervals"))).crossJoin(t.agg(F.count("*").alias("n_labels")))
+    spans = intervals.select("start_t", "end_t", (F.col("start_t") - slack).alias("_lo"), (F.col("end_t") + slack).alias("_hi"))
+    span = F.struct("start_t", "end_t")
+    j = bucket_join(labels.select("t"), spans, "t", "_lo", "_hi", 3600, "full_outer")
+    hit = F.col("t").isNotNull() & F.col("start_t").isNotNull()
+    n = lambda c, on: F.count_distinct(F.when(on, c))
+    row = j.agg(n(span, F.col("start_t").isNotNull()).alias("n_intervals"), F.count_distinct("t").alias("n_labels"), n(F.col("t"), hit).alias("tp"), n(span, hit).alias("hit"), n(F.struct("t", "start_t", "end_t"), hit).alias("pairs"))
     row = row.withColumn("fp", F.col("n_intervals") - F.col("hit")).withColumn("fn", F.col("n_labels") - F.col("tp"))
     row = row.withColumn("precision", F.bround(maths.div0(F.col("tp"), F.col("tp") + F.col("fp")), 4)).withColumn("recall", F.bround(maths.div0(F.col("tp"), F.col("n_labels")), 4))
     f1 = F.bround(maths.f1(F.col("precision"), F.col("recall")), 4)
-    return row.select("n_intervals", "n_labels", "tp", "fp", "fn", "precision", "recall", f1.alias("f1"), ((F.col("n_intervals") > 0) & (F.col("n_labels") > 0) & (F.col("tp") > 0)).alias("scored"))
+    scored = (F.col("n_intervals") > 0) & (F.col("n_labels") > 0) & (F.col("tp") > 0)
+    return row.select("n_intervals", "n_labels", "tp", "fp", "fn", "precision", "recall", f1.alias("f1"), F.bround(maths.div0(F.col("pairs"), F.col("hit")), 2).alias("density"), scored.alias("scored"))
 
 
 def interval_classes(intervals: DataFrame, labels: DataFrame, slack: int, guard: int) -> DataFrame:
-    """Each interval's kind: hit, ignore_overlap (within the guard only) or normal_only."""
-    keys = ["start_t", "end_t"]
-    hit = hits(intervals, labels, slack).select(*keys, F.lit(1).alias("h")).distinct()
-    near = hits(intervals, labels, guard).select(*keys, F.lit(1).alias("g")).distinct()
-    kind = F.when(F.col("h") == 1, "hit").when(F.col("g") == 1, "ignore_overlap").otherwise("normal_only")
-    return intervals.join(hit, keys, "left").join(near, keys, "left").select(*keys, kind.alias("kind"))
+    """Each interval's kind: hit, ignore_overlap (within the guard only) or normal_only. ``guard`` is at least ``slack``."""
+    spans = intervals.select("start_t", "end_t", (F.col("start_t") - guard).alias("_lo"), (F.col("end_t") + guard).alias("_hi"))
+    j = bucket_join(labels.select("t"), spans, "t", "_lo", "_hi", 3600, "right")
+    hit = F.col("t").between(F.col("start_t") - slack, F.col("end_t") + slack)
+    kind = F.when(F.coalesce(F.bool_or(hit), F.lit(False)), "hit").when(F.count("t") > 0, "ignore_overlap").otherwise("normal_only")
+    return j.groupBy("start_t", "end_t").agg(kind.alias("kind"))
 
 
 def delay_summary(intervals: DataFrame, labels: DataFrame, slack: int = 300) -> DataFrame:
@@ -47,18 +52,22 @@ def delay_summary(intervals: DataFrame, labels: DataFrame, slack: int = 300) ->
     return d.agg(F.count("*").alias("n"), F.percentile("delay", F.lit(0.5)).alias("median_delay"), F.round(F.avg("delay"), 6).alias("mean_delay"), F.min("delay").alias("min_delay"), F.max("delay").alias("max_delay"), F.count_if(F.col("delay") < 0).alias("n_negative"))
 
 
-def window_categories(windows: DataFrame, labels: DataFrame, match: tuple[int, int], guard: tuple[int, int]) -> DataFrame:
+def window_categories(windows: DataFrame, labels: DataFrame, match: tuple[int, int], guard: tuple[int, int], width: int = 4800) -> DataFrame:
     """Windows (start, target) whose target is in a label's half-open match region are event_associated; those that any part of touches a guard
-    region are ignored; the rest are normal_reference. The last matching case counts; classes that differ make it ambiguous."""
-    spans = labels.select("case_id", "class", (F.col("t") - match[0]).alias("lo"), (F.col("t") + match[1] - 1).alias("hi"))
-    m = bucket_join(windows.select("start", "target"), spans, "target", "lo", "hi", 600).groupBy("start").agg(F.max("case_id").alias("last_case"), (F.min("class") != F.max("class")).alias("amb"))
-    # target >= t - g0 and start < t + g1: the span of targets is [t - g0, t + g1 - 1 + length)
-    wide = windows.select("start", "target", (F.col("target") - F.col("start")).alias("len"))
-    spans = labels.select("t", (F.col("t") - guard[0]).alias("lo"), (F.col("t") + guard[1] - 1 + 3600 * 24).alias("hi")).distinct()
-    g = bucket_join(wide, spans, "target", "lo", "hi", 86_400).where(F.col("start") < F.col("t") + guard[1]).select("start").distinct().withColumn("g", F.lit(1))
-    kind = F.when(F.col("amb").isNotNull(), "event_associated").when(F.col("g") == 1, "ignore").otherwise("normal_reference")
-    out = windows.join(m, "start", "left").join(g, "start", "left")
-    return out.select("start", "target", kind.alias("category"), F.coalesce("amb", F.lit(False)).alias("ambiguous"), F.when(~F.col("amb"), F.col("last_case")).alias("case_id"))
+    region are ignored; the rest are normal_reference. The last matching case counts; classes that differ make it ambiguous.
+
+    Each window, whatever its length, meets the labels between the first and the last that can concern it, in buckets of ``width``.
+    """
+    first = F.least(F.col("target") - match[1] + 1, F.col("start") - guard[1] + 1)
+    last = F.greatest(F.col("target") + match[0], F.col("target") + guard[0])
+    spans = windows.select("start", "target", first.alias("_lo"), last.alias("_hi"))
+    j = bucket_join(labels.select("case_id", "class", "t"), spans, "t", "_lo", "_hi", width, "right")
+    m = (F.col("target") >= F.col("t") - match[0]) & (F.col("target") < F.col("t") + match[1])
+    g = (F.col("target") >= F.col("t") - guard[0]) & (F.col("start") < F.col("t") + guard[1])
+    own = F.when(m, F.col("class"))
+    out = j.groupBy("start", "target").agg(F.max(F.when(m, F.col("case_id"))).alias("last_case"), F.coalesce(F.min(own) != F.max(own), F.lit(False)).alias("ambiguous"), F.coalesce(F.bool_or(m), F.lit(False)).alias("m"), F.coalesce(F.bool_or(g), F.lit(False)).alias("g"))
+    kind = F.when(F.col("m"), "event_associated").when(F.col("g"), "ignore").otherwise("normal_reference")
+    return out.select("start", "target", kind.alias("category"), "ambiguous", F.when(~F.col("ambiguous"), F.col("last_case")).alias("case_id"))
 
 
 def labelled_grid(grid: DataFrame, labels: DataFrame, step: int = 600) -> DataFrame:
@@ -67,22 +76,25 @@ def labelled_grid(grid: DataFrame, labels: DataFrame, step: int = 600) -> DataFr
     return grid.join(on, "t", "left").select("t", "score", F.coalesce("p", F.lit(False)).alias("pos"))
 
 
+def counted(scored: DataFrame) -> DataFrame:
+    """(score, p, n): the positives and negatives of each score; all that threshold metrics need."""
+    return scored.groupBy("score").agg(F.count_if("pos").alias("p"), F.count_if(~F.col("pos")).alias("n"))
+
+
 def threshold_search(scored: DataFrame, steps: int, most: float) -> DataFrame:
     """The smallest of the percentile grid of negative scores with a false-positive rate of at most ``most``.
 
-    Ranks come from counts by score, so the grid, which has a fixed size, is the only side that is broadcast.
+    The grid and its rates come from running counts by score: above a percentile are all negatives but those up to its lower neighbour.
     """
-    neg = scored.where("not pos")
-    taus = neg.agg(F.percentile("score", F.array(*[F.lit(k / steps) for k in range(steps + 1)])).alias("q")).select(F.explode("q").alias("tau")).distinct()
-    rate = neg.join(F.broadcast(taus)).groupBy("tau").agg(F.avg((F.col("score") > F.col("tau")).cast("double")).alias("fpr"))
-    return rate.where(F.col("fpr") <= most).agg(F.min("tau").alias("tau"))
+    grid = grid_quantiles(counted(scored), "score", "n", steps)
+    return grid.where((F.col("n") - F.col("upto")) / F.col("n") <= most).agg(F.min("tau").alias("tau"))
 
 
 def confusion_at(scored: DataFrame, taus: DataFrame) -> DataFrame:
-    """tp, fp, fn and tn of the strict ``score > tau`` for each of a few thresholds."""
+    """tp, fp, fn and tn of the strict ``score > tau`` for each of a few thresholds, from counts by score."""
     hit = F.col("score") > F.col("tau")
-    count = lambda p, h, n: F.count_if((F.col("pos") if p else ~F.col("pos")) & (hit if h else ~hit)).alias(n)
-    return scored.join(F.broadcast(taus)).groupBy("tau").agg(count(True, True, "tp"), count(False, True, "fp"), count(True, False, "fn"), count(False, False, "tn"))
+    add = lambda c, h, n: F.sum(F.when(hit if h else ~hit, F.col(c)).otherwise(0)).alias(n)
+    return counted(scored).join(F.broadcast(taus)).groupBy("tau").agg(add("p", True, "tp"), add("n", True, "fp"), add("p", False, "fn"), add("n", False, "tn"))
 
 
 def node_errors(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -92,19 +104,20 @@ def node_errors(cells: DataFrame, keys: list[str]) -> DataFrame:
     return cells.groupBy(*keys).agg(F.coalesce(F.try_divide(total, seen), F.lit(0.0)).alias("error"), (seen > 0).alias("valid"))
 
 
-def calibrate(errors: DataFrame, node: str = "node", floor: float = 1e-6, part: float = 0.01) -> DataFrame:
-    """Per node: median, iqr and scale, the iqr held above max(floor, part of the median iqr); ``floored`` says where it is."""
-    q = errors.where("valid").groupBy(node).agg(F.percentile("error", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(node, F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
-    eps = q.agg(F.greatest(F.lit(floor), part * F.percentile("iqr", F.lit(0.5))).alias("eps"))
-    return q.crossJoin(F.broadcast(eps)).select(node, "median", "iqr", F.greatest("iqr", "eps").alias("scale"), (F.col("iqr") < F.col("eps")).alias("floored"))
+def calibrate(errors: DataFrame, node: str = "node", floor: float = 1e-6, part: float = 0.01, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Per node (of each key): median, iqr and scale, the iqr held above max(floor, part of the median iqr); ``floored`` says where it is."""
+    q = errors.where("valid").groupBy(*keys, node).agg(F.percentile("error", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = q.select(*keys, node, F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
+    eps = q.groupBy(*keys).agg(F.greatest(F.lit(floor), part * F.percentile("iqr", F.lit(0.5))).alias("eps"))
+    q = q.join(eps, list(keys)) if keys else q.crossJoin(F.broadcast(eps))
+    return q.select(*keys, node, "median", "iqr", F.greatest("iqr", "eps").alias("scale"), (F.col("iqr") < F.col("eps")).alias("floored"))
 
 
-def window_scores(errors: DataFrame, stats: DataFrame, window: str = "window", node: str = "node", top: int = 3) -> DataFrame:
-    """Per window: m1 the largest error, m2 the largest normalised error, m3 the mean of the ``top`` largest; -inf without valid nodes."""
-    z = errors.join(stats, node).select(window, F.when(F.col("valid"), F.col("error")).alias("e"), F.when(F.col("valid"), (F.col("error") - F.col("median")) / F.col("scale")).alias("z"))
+def window_scores(errors: DataFrame, stats: DataFrame, window: str = "window", node: str = "node", top: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Per window (of each key): m1 the largest error, m2 the largest normalised error, m3 the mean of the ``top`` largest; -inf without valid nodes."""
+    z = errors.join(stats, [*keys, node]).select(*keys, window, F.when(F.col("valid"), F.col("error")).alias("e"), F.when(F.col("valid"), (F.col("error") - F.col("median")) / F.col("scale")).alias("z"))
     best = F.slice(F.sort_array(F.collect_list("z"), asc=False), 1, top)
-    out = z.groupBy(window).agg(F.max("e").alias("m1"), F.max("z").alias("m2"), best.alias("b"))
-    mean = F.when(F.size("b") > 0, F.aggregate("b", F.lit(0.0), lambda a, b: a + b) / F.size("b"))
+    out = z.groupBy(*keys, window).agg(F.max("e").alias("m1"), F.max("z").alias("m2"), best.alias("_best"))
+    mean = F.when(F.size("_best") > 0, F.aggregate("_best", F.lit(0.0), lambda a, b: a + b) / F.size("_best"))
     low = F.lit(float("-inf"))
-    return out.select(window, F.coalesce("m1", low).alias("m1"), F.coalesce("m2", low).alias("m2"), F.coalesce(mean, low).alias("m3"))
+    return out.select(*keys, window, F.coalesce("m1", low).alias("m1"), F.coalesce("m2", low).alias("m2"), F.coalesce(mean, low).alias("m3"))

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SHARD = 86_400
+#: Seconds of a shard: one task holds the rows of one.
+SHARD = 3_600
 
 
 def _carry(df: DataFrame, keys: list[str], value: Column, name: str, how) -> DataFrame:
@@ -43,27 +44,41 @@ def with_running(df: DataFrame, value: Column, order: tuple[str, ...], name: str
     return out.withColumn(name, F.when(F.col("_before").isNull(), F.col("_in")).otherwise(rest(F.col("_before"), F.col("_in")))).drop("_in", "_before", "_x", "shard")
 
 
-def islands(df: DataFrame, breaks, t: str = "t", order: tuple[str, ...] = ("t",), keys: list[str] | None = None, name: str = "island") -> DataFrame:
-    """Numbers runs of rows from 0: a new one begins where ``breaks(gap)`` holds, gap being the step from the row before."""
-    df = with_previous(df, t, order, keys, "_prev")
-    new = F.when(F.col("_prev").isNotNull() & breaks(F.col(t) - F.col("_prev")), 1).otherwise(0)
-    return with_running(df, new, order, name, t, keys).drop("_prev")
+def island_spans(df: DataFrame, breaks, t: str = "t", keys: list[str] | None = None, shard: int = SHARD) -> DataFrame:
+    """(keys, start_t, end_t, n) of runs of rows: a new one begins where ``breaks(gap)`` holds, gap being the step from the row before.
+
+    The table is read and shuffled once. Runs are found in each shard; only the first of a shard can go on from an earlier one, and only
+    the last can be gone on from, so these, two rows a shard at most, are all that meets in one window (of each key).
+    """
+    keys = keys or []
+    df = df.select(*keys, F.col(t).alias("_t"), F.floor(F.col(t) / shard).alias("_s"))
+    w = W.partitionBy(*keys, "_s").orderBy("_t")
+    df = df.withColumn("_new", F.when(breaks(F.col("_t") - F.lag("_t").over(w)), 1).otherwise(0))
+    df = df.withColumn("_i", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    part = df.groupBy(*keys, "_s", "_i").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"), F.count("*").alias("_n"))
+    edge = (F.col("_i") == 0) | (F.col("_i") == F.max("_i").over(W.partitionBy(*keys, "_s")))
+    part = part.withColumn("_p", F.when(~edge, F.col("_s")))
+    w = W.partitionBy(*keys, "_p").orderBy("_lo", "_i")
+    part = part.withColumn("_last", F.lag("_hi").over(w))
+    goes_on = (F.col("_i") == 0) & F.col("_last").isNotNull() & ~breaks(F.col("_lo") - F.col("_last"))
+    part = part.withColumn("_g", F.sum(F.when(goes_on, 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return part.groupBy(*keys, "_p", "_g").agg(F.min("_lo").alias("start_t"), F.max("_hi").alias("end_t"), F.sum("_n").alias("n")).drop("_p", "_g")
 
 
 def alert_groups(alerts: DataFrame, gap: int = 600, t: str = "t") -> DataFrame:
     """(start_t, end_t, n) of alerts closer than ``gap``; a step of ``gap`` or more begins another group."""
-    return islands(alerts, lambda g: g >= gap, t).groupBy("island").agg(F.min(t).alias("start_t"), F.max(t).alias("end_t"), F.count("*").alias("n")).drop("island")
+    return island_spans(alerts, lambda g: g >= gap, t)
 
 
 def alert_intervals(alerts: DataFrame, gap: int = 600, t: str = "t") -> DataFrame:
-    """Distinct (start_t, end_t); groups of a single moment are dropped."""
-    return alert_groups(alerts, gap, t).where("start_t < end_t").select("start_t", "end_t").distinct()
+    """(start_t, end_t), each once; groups of a single moment are dropped."""
+    return alert_groups(alerts, gap, t).where("start_t < end_t").select("start_t", "end_t")
 
 
 def bucket_join(points: DataFrame, spans: DataFrame, t: str, lo: str, hi: str, width: int, how: str = "inner") -> DataFrame:
     """Points with the closed spans that hold them, as an equi-join on time buckets; spans go to each bucket they touch.
 
-    ``how`` is inner, left, left_semi or left_anti. ``width`` near the spans' usual length keeps the copies few.
+    ``how`` is a join type; a span that no point is in comes once for each of its buckets in outer joins. ``width`` near the spans' usual length keeps the copies few.
     """
     cut = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
     p = points.withColumn("_b", F.floor(F.col(t) / width)).alias("p")
@@ -92,25 +107,34 @@ def nearest_any(left: DataFrame, right: DataFrame, t: str, rt: str) -> DataFrame
     return left.join(best, "_id", "left").withColumn("distance", F.abs(F.col(t) - F.col("near")))
 
 
-def episodes(spans: DataFrame, lo: str, hi: str) -> DataFrame:
-    """Merges spans that overlap or touch: a new one begins after the largest end so far."""
-    s = spans.select(F.col(lo).alias("lo"), F.col(hi).alias("hi"))
-    s = with_running(s, F.col("hi"), ("lo", "hi"), "reach", "lo", how=F.max, rest=F.greatest)
-    s = with_previous(s, "lo", ("lo", "hi"))
-    top = F.lag("reach").over(W.partitionBy("shard").orderBy("lo", "hi"))
-    s = s.withColumn("shard", F.floor(F.col("lo") / SHARD)).withColumn("_top", top)
-    edge = _carry(s, [], F.max("reach"), "_edge", F.max)
-    s = s.join(edge, "shard", "left").withColumn("_new", F.when(F.col("lo") > F.coalesce("_top", "_edge"), 1).otherwise(0)).drop("shard")
-    s = with_running(s, F.col("_new"), ("lo", "hi"), "episode", "lo")
-    return s.groupBy("episode").agg(F.min("lo").alias("start_t"), F.max("hi").alias("end_t"), F.count("*").alias("n")).drop("episode")
+def episodes(spans: DataFrame, lo: str, hi: str, shard: int = SHARD) -> DataFrame:
+    """(start_t, end_t, n) of merged spans that overlap or touch: a new one begins after the largest end so far.
+
+    Spans are merged in the shard where they begin; what is left, which doesn't overlap in its shard, is told the largest end, and
+    then the last beginning, of the shards before it.
+    """
+    s = spans.select(F.col(lo).alias("lo"), F.col(hi).alias("hi"), F.floor(F.col(lo) / shard).alias("shard"))
+    w = W.partitionBy("shard").orderBy("lo", "hi")
+    s = s.withColumn("_top", F.max("hi").over(w.rowsBetween(W.unboundedPreceding, -1)))
+    s = s.withColumn("_i", F.sum(F.when(F.col("_top").isNull() | (F.col("lo") > F.col("_top")), 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    part = s.groupBy("shard", "_i").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n"))
+    w = W.partitionBy("shard").orderBy("lo")
+    part = part.join(_carry(part, [], F.max("hi"), "_reach", F.max), "shard")
+    part = part.withColumn("_new", F.when(F.col("lo") > F.coalesce(F.greatest("_reach", F.lag("hi").over(w)), F.col("lo") - 1), F.col("lo")))
+    part = part.join(_carry(part, [], F.max("_new"), "_from", F.max), "shard")
+    part = part.withColumn("start_t", F.coalesce(F.max("_new").over(w.rowsBetween(W.unboundedPreceding, 0)), F.col("_from")))
+    return part.groupBy("start_t").agg(F.max("hi").alias("end_t"), F.sum("n").alias("n"))
 
 
 def windows(df: DataFrame, length: int, step: int, t: str = "t") -> DataFrame:
     """(start, target) of each run of ``length`` rows whose steps all are ``step``; no window bridges a gap."""
-    run = islands(df, lambda g: g != step, t)
-    size = run.groupBy("island").agg(F.min(t).alias("lo"), F.max(t).alias("hi"))
-    start = run.join(size, "island").where(F.col(t) <= F.col("hi") - (length - 1) * step)
-    return start.select(F.col(t).alias("start"), (F.col(t) + (length - 1) * step).alias("target"))
+    return strided(df, length, step, 1, t).select("start", (F.col("start") + (length - 1) * step).alias("target"))
+
+
+def strided(df: DataFrame, length: int, step: int, stride: int, t: str = "t") -> DataFrame:
+    """(start) of every ``stride``-th window of each run: a run's rows are known from its ends."""
+    run = island_spans(df, lambda g: g != step, t).where(F.col("end_t") - F.col("start_t") >= (length - 1) * step)
+    return run.select(F.explode(F.sequence(F.col("start_t"), F.col("end_t") - (length - 1) * step, F.lit(step * stride).cast("long"))).alias("start"))
 
 
 def rolling_max(df: DataFrame, value: str, width: int, t: str = "t", keys: tuple[str, ...] = (), shard: int = SHARD) -> DataFrame:

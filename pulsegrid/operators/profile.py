@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import cumulative
+
 
 def moments(df: DataFrame, keys: list[str], v: str = "v") -> DataFrame:
     """Mean, population spread, range, share of zeros and constancy per key."""
@@ -57,14 +59,25 @@ def correlations(df: DataFrame, row: str, col: str, v: str, floor: float = 1e-9)
     Values are gathered per row (as many as there are columns) and paired inside it, so the only shuffle is by pair.
     """
     live = df.groupBy(col).agg(F.stddev_pop(v).alias("s")).where(F.col("s") > floor).select(col)
-    rows = df.join(F.broadcast(live), col).groupBy(row).agg(F.sort_array(F.collect_list(F.struct(F.col(col).alias("c"), F.col(v).alias("x")))).alias("a"))
+    rows = df.join(live, col).groupBy(row).agg(F.sort_array(F.collect_list(F.struct(F.col(col).alias("c"), F.col(v).alias("x")))).alias("a"))
     pairs = rows.select(F.posexplode("a").alias("p", "l"), "a").select("l", F.explode(F.slice("a", F.col("p") + 2, F.size("a"))).alias("m"))
     return pairs.groupBy(F.col("l.c").alias("i"), F.col("m.c").alias("j")).agg(F.corr("l.x", "m.x").alias("r"))
 
 
-def ks(df: DataFrame, side: str, v: str) -> DataFrame:
-    """The two-sample Kolmogorov-Smirnov statistic between rows with ``side`` true and false; from counts by value."""
-    per = df.groupBy(v).agg(F.count_if(F.col(side)).alias("a"), F.count_if(~F.col(side)).alias("b"))
-    up, every = W.orderBy(v).rowsBetween(W.unboundedPreceding, 0), W.partitionBy(F.lit(0))
-    gap = F.abs(F.sum("a").over(up) / F.sum("a").over(every) - F.sum("b").over(up) / F.sum("b").over(every))
-    return per.select(gap.alias("g")).agg(F.max("g").alias("ks"))
+def ks(df: DataFrame, side: str, v: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, ks, p_value): the two-sample Kolmogorov-Smirnov statistic between rows with ``side`` true and false, from running counts by value.
+
+    The p-value is the asymptotic one of two sides of a and b rows, the sum over j of 2 (-1)^(j - 1) exp(-2 j^2 x^2) at
+    x = ks * sqrt(a b / (a + b)), held between 0 and 1; 1 where x is below 0.2, as the sum is there to 12 places.
+    """
+    per = df.groupBy(*keys, v).agg(F.count_if(F.col(side)).alias("a"), F.count_if(~F.col(side)).alias("b"))
+    if keys:  # a window for each key holds its values; for few large keys put the key into the value's shard first
+        up, every = W.partitionBy(*keys).orderBy(v).rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*keys)
+        c = per.select(*keys, *((F.sum(x).over(up)).alias(f"up_{x}") for x in "ab"), *((F.sum(x).over(every)).alias(f"all_{x}") for x in "ab"))
+    else:
+        c = cumulative(per, v, ["a", "b"]).select(*((F.col(f"before_{x}") + F.col(x)).alias(f"up_{x}") for x in "ab"), "all_a", "all_b")
+    gap = F.abs(F.try_divide(F.col("up_a"), F.col("all_a")) - F.try_divide(F.col("up_b"), F.col("all_b")))
+    out = c.groupBy(*keys).agg(F.max(gap).alias("ks"), F.max("all_a").alias("a"), F.max("all_b").alias("b"))
+    x = F.col("ks") * F.sqrt(F.col("a") * F.col("b") / (F.col("a") + F.col("b")))
+    tail = sum((F.lit(2.0 * (-1) ** (j - 1)) * F.exp(-2.0 * j * j * x * x) for j in range(2, 41)), F.lit(2.0) * F.exp(-2.0 * x * x))
+    return out.select(*keys, "ks", F.when(x < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0))).alias("p_value"))

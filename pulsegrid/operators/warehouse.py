@@ -49,6 +49,15 @@ def table_diff(a: DataFrame, b: DataFrame, keys: list[str], rtol: float = 1e-9)
     return out.select(*keys, "x.column", "side", "x.left", "x.right")
 
 
+def union_check(whole: DataFrame, parts: DataFrame) -> DataFrame:
+    """One row: rows of ``whole`` that ``parts`` lacks (missing), rows that it has beyond (added), and both numbers of rows (n, n_parts). Both sides are counted in one shuffle."""
+    cols = whole.columns
+    tagged = whole.select(*cols, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(parts.select(*cols, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    per = tagged.groupBy(*cols).agg(F.sum("_a").alias("a"), F.sum("_b").alias("b"))
+    more = lambda x, y: F.coalesce(F.sum(F.greatest(F.col(x) - F.col(y), F.lit(0))), F.lit(0))
+    return per.agg(more("a", "b").alias("missing"), more("b", "a").alias("added"), F.coalesce(F.sum("a"), F.lit(0)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("n_parts"))
+
+
 def check_table(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """(check, violations, status) of named conditions, in one pass over the table; a condition marks rows that break the rule."""
     row = df.agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in checks.items()))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import maths
 from pulsegrid.operators import classify, detection, profile
+from pulsegrid.operators.ordered import grid_quantiles
 
 from .registry import query
 from .views import PROBS, TEN, logits, table, tel, ten
@@ -102,11 +103,21 @@ def _(spark, sf):
     return c.select("i", "r").union(c.select("j", "r")).groupBy(F.col("i").alias("dim")).agg(F.round(F.avg(F.abs("r")), 5).alias("mean_abs"))
 
 
-@query("ks_shift", "WITH p AS (SELECT value AS v, ts < TIMESTAMP '2024-01-16' AS a FROM events), u AS (SELECT v, count(*) FILTER (WHERE a) AS x, count(*) FILTER (WHERE NOT a) AS y FROM p GROUP BY v), c AS (SELECT abs(sum(x) OVER w / sum(x) OVER () - sum(y) OVER w / sum(y) OVER ()) AS g FROM u WINDOW w AS (ORDER BY v ROWS UNBOUNDED PRECEDING)), m AS (SELECT avg(v) FILTER (WHERE a) AS m1, avg(v) FILTER (WHERE NOT a) AS m2, stddev_pop(v) FILTER (WHERE a) AS s1 FROM p) SELECT round(max(g), 6) AS ks, round(any_value((m2 - m1) / s1), 6) AS shift FROM c, m")
+KS_P = "CASE WHEN x < 0.2 THEN 1.0 ELSE least(greatest(2 * exp(-2 * x * x) + (SELECT sum(2.0 * pow(-1, j - 1) * exp(-2.0 * j * j * x * x)) FROM unnest(range(2, 41)) u(j)), 0.0), 1.0) END"
+
+
+@query("ks_shift", "WITH p AS (SELECT value AS v, ts < TIMESTAMP '2024-01-16' AS a FROM events), u AS (SELECT v, count(*) FILTER (WHERE a) AS x, count(*) FILTER (WHERE NOT a) AS y FROM p GROUP BY v), c AS (SELECT abs(sum(x) OVER w / sum(x) OVER () - sum(y) OVER w / sum(y) OVER ()) AS g FROM u WINDOW w AS (ORDER BY v ROWS UNBOUNDED PRECEDING)), m AS (SELECT avg(v) FILTER (WHERE a) AS m1, avg(v) FILTER (WHERE NOT a) AS m2, stddev_pop(v) FILTER (WHERE a) AS s1, count(*) FILTER (WHERE a) AS na, count(*) FILTER (WHERE NOT a) AS nb FROM p), k AS (SELECT max(g) AS ks, any_value((m2 - m1) / s1) AS shift, max(g) * sqrt(any_value(na)::DOUBLE * any_value(nb) / (any_value(na) + any_value(nb))) AS x FROM c, m) SELECT round(ks, 6) AS ks, round(" + KS_P + ", 6) AS p_value, round(shift, 6) AS shift FROM k")
 def _(spark, sf):
     p = table(spark, sf, "events").select(F.col("value").alias("v"), F.expr("ts < timestamp_ntz'2024-01-16 00:00:00'").alias("a"))
     m = p.agg(F.avg(F.when(F.col("a"), F.col("v"))).alias("m1"), F.avg(F.when(~F.col("a"), F.col("v"))).alias("m2"), F.stddev_pop(F.when(F.col("a"), F.col("v"))).alias("s1"))
-    return profile.ks(p, "a", "v").crossJoin(m).select(F.round("ks", 6).alias("ks"), F.round(F.try_divide(F.col("m2") - F.col("m1"), F.col("s1")), 6).alias("shift"))
+    return profile.ks(p, "a", "v").crossJoin(m).select(F.round("ks", 6).alias("ks"), F.round("p_value", 6).alias("p_value"), F.round(F.try_divide(F.col("m2") - F.col("m1"), F.col("s1")), 6).alias("shift"))
+
+
+@query("ks_flags", T + ", u AS (SELECT dim, v, count(*) FILTER (WHERE label < 5) AS x, count(*) FILTER (WHERE label >= 5) AS y FROM ten GROUP BY dim, v), c AS (SELECT dim, abs(sum(x) OVER w / sum(x) OVER a - sum(y) OVER w / sum(y) OVER a) AS g, sum(x) OVER a AS na, sum(y) OVER a AS nb FROM u WINDOW w AS (PARTITION BY dim ORDER BY v ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY dim)), k AS (SELECT dim, max(g) AS ks, max(g) * sqrt(max(na)::DOUBLE * max(nb) / (max(na) + max(nb))) AS x FROM c GROUP BY dim) SELECT dim, round(ks, 6) AS ks, round(" + KS_P + ", 6) AS p_value FROM k WHERE ks >= 0.03 ORDER BY ks DESC, dim LIMIT 15")
+def _(spark, sf):
+    """The fifteen features whose two halves of the labels differ most, of those flagged by their statistic."""
+    k = profile.ks(ten(spark, sf).withColumn("s", F.col("label") < 5), "s", "v", ("dim",)).where("ks >= 0.03")
+    return k.orderBy(F.desc("ks"), "dim").limit(15).select("dim", F.round("ks", 6).alias("ks"), F.round("p_value", 6).alias("p_value"))
 
 
 @query("kurtosis_outliers", "WITH m AS (SELECT l_returnflag AS k, avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS s FROM lineitem GROUP BY 1) SELECT l_returnflag, round(kurtosis_pop(l_extendedprice), 6) AS kurtosis, round(avg(CASE WHEN abs((l_extendedprice - m) / s) > 2 THEN 1.0 ELSE 0.0 END), 6) AS tail, round(max(abs((l_extendedprice - m) / s)), 6) AS max_z FROM lineitem JOIN m ON k = l_returnflag GROUP BY l_returnflag")
@@ -189,12 +200,12 @@ def _(spark, sf):
     return ten(spark, sf).groupBy("dim").agg(F.round(F.avg(maths.sigmoid(F.col("v"))), 6).alias("p"), F.round(F.avg(maths.bce_with_logits(F.col("v"), F.col("label") % 2)), 6).alias("bce"))
 
 
-@query("family_diagnostic", P + ", f AS (SELECT CASE WHEN label < 6 THEN 'container' ELSE 'node' END AS tf, CASE WHEN pred < 6 THEN 'container' ELSE 'node' END AS pf, label = pred AS ok FROM pred WHERE seed = 0) SELECT tf AS family, count(*) AS n, count(*) FILTER (WHERE ok) AS exact, count(*) FILTER (WHERE NOT ok AND tf = pf) AS inside, count(*) FILTER (WHERE tf <> pf) AS outside, round(CASE WHEN count(*) FILTER (WHERE tf = pf) > 0 THEN count(*) FILTER (WHERE ok) / count(*) FILTER (WHERE tf = pf) ELSE 0.0 END, 6) AS conditional_accuracy FROM f GROUP BY tf")
+@query("family_diagnostic", P + ", f AS (SELECT CASE WHEN label < 6 THEN 'container' ELSE 'node' END AS tf, CASE WHEN pred < 6 THEN 'container' ELSE 'node' END AS pf, label = pred AS ok, seed FROM pred) SELECT seed::INTEGER AS seed, tf AS family, count(*) AS n, count(*) FILTER (WHERE ok) AS exact, count(*) FILTER (WHERE NOT ok AND tf = pf) AS inside, count(*) FILTER (WHERE tf <> pf) AS outside, round(CASE WHEN count(*) FILTER (WHERE tf = pf) > 0 THEN count(*) FILTER (WHERE ok) / count(*) FILTER (WHERE tf = pf) ELSE 0.0 END, 6) AS conditional_accuracy FROM f GROUP BY seed, tf")
 def _(spark, sf):
     fam = lambda c: F.when(F.col(c) < 6, "container").otherwise("node")
-    f = preds(spark, sf).where("seed = 0").select(fam("label").alias("family"), fam("pred").alias("pf"), (F.col("label") == F.col("pred")).alias("ok"))
+    f = preds(spark, sf).select("seed", fam("label").alias("family"), fam("pred").alias("pf"), (F.col("label") == F.col("pred")).alias("ok"))
     same = F.col("family") == F.col("pf")
-    return f.groupBy("family").agg(F.count("*").alias("n"), F.count_if("ok").alias("exact"), F.count_if(~F.col("ok") & same).alias("inside"), F.count_if(~same).alias("outside"), F.round(maths.div0(F.count_if("ok"), F.count_if(same)), 6).alias("conditional_accuracy"))
+    return f.groupBy("seed", "family").agg(F.count("*").alias("n"), F.count_if("ok").alias("exact"), F.count_if(~F.col("ok") & same).alias("inside"), F.count_if(~same).alias("outside"), F.round(maths.div0(F.count_if("ok"), F.count_if(same)), 6).alias("conditional_accuracy"))
 
 
 @query("confusion_pairs", P + " SELECT label || ' -> ' || pred AS pair, count(*) AS n FROM pred WHERE label <> pred GROUP BY 1")
@@ -284,29 +295,70 @@ def _(spark, sf):
 def _(spark, sf):
     e = errors(spark, sf)
     s = detection.window_scores(e, detection.calibrate(e.where("vec_id % 2 = 0")), "vec_id")
-    ps = (0.95, 0.97, 0.99, 0.995)
-    taus = s.where("vec_id % 2 = 0").agg(F.percentile("m3", F.array(*map(F.lit, ps))).alias("q")).select(F.explode(F.arrays_zip(F.array(*(F.lit(round(100 * x, 1)) for x in ps)).alias("p"), "q")).alias("r")).select("r.p", F.col("r.q").alias("tau"))
-    return s.join(F.broadcast(taus)).groupBy("p", "tau").agg(F.count_if(F.col("m3") > F.col("tau")).alias("n_alerts")).select("p", F.round("tau", 4).alias("tau"), "n_alerts")
+    per = s.groupBy("m3").agg(F.count_if(F.col("vec_id") % 2 == 0).alias("half"), F.count("*").alias("all"))
+    taus = grid_quantiles(per, "m3", "half", 1000).where("k in (950, 970, 990, 995)").select((F.col("k") / 10).alias("p"), "tau")
+    n = F.sum(F.when(F.col("m3") > F.col("tau"), F.col("all")).otherwise(0))
+    return per.join(F.broadcast(taus)).groupBy("p", "tau").agg(n.alias("n_alerts")).select("p", F.round("tau", 4).alias("tau"), "n_alerts")
+
 
+def draw_sql(rounds: int, seed: int, block: int = 1) -> str:
+    """The draws of ``classify.draws`` for a table n (n), as ix (b, i, at)."""
+    start = f"(('0x' || substr(md5('{seed}-' || b || '-' || (i // {block})), 1, 15))::BIGINT % greatest(n - {block - 1}, 1))"
+    return f"ix AS (SELECT b, i, {start} + i % {block} AS at FROM n, unnest(range(1, {rounds + 1})) u(b), unnest(range(0, n)) v(i))"
 
-@query("bootstrap_ci", P + ", o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS at, max(CASE WHEN seed = 0 AND label = pred THEN 1 ELSE 0 END) - max(CASE WHEN seed = 1 AND label = pred THEN 1 ELSE 0 END) AS d FROM pred GROUP BY vec_id), n AS (SELECT count(*) AS n FROM o), ix AS (SELECT b, ((7919 * b + 48271 * i + i * i * b) % 1000003) % n AS at FROM n, unnest(range(1, 201)) u(b), unnest(range(0, n)) v(i)), s AS (SELECT b, avg(d) AS m FROM ix JOIN o ON ix.at = o.at GROUP BY b) SELECT count(*) AS rounds, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), 6) AS above, round(avg(CASE WHEN m < 0 THEN 1.0 ELSE 0.0 END), 6) AS below FROM s")
+
+@query("bootstrap_ci", P + ", o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS at, max(CASE WHEN seed = 0 AND label = pred THEN 1 ELSE 0 END) - max(CASE WHEN seed = 1 AND label = pred THEN 1 ELSE 0 END) AS d FROM pred GROUP BY vec_id), n AS (SELECT count(*) AS n FROM o), " + draw_sql(1000, 7919) + ", s AS (SELECT b, avg(d) AS m FROM ix JOIN o ON ix.at = o.at GROUP BY b) SELECT count(*) AS rounds, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), 6) AS above, round(avg(CASE WHEN m = 0 THEN 1.0 ELSE 0.0 END), 6) AS equal, round(avg(CASE WHEN m < 0 THEN 1.0 ELSE 0.0 END), 6) AS below FROM s")
 def _(spark, sf):
+    """Paired bootstrap of the difference of two models' accuracy, 1,000 rounds: the 95 % interval and the shares of rounds above, at and below 0."""
     ok = lambda s: F.max(F.when((F.col("seed") == s) & (F.col("label") == F.col("pred")), 1).otherwise(0))
-    d = preds(spark, sf).groupBy("vec_id").agg((ok(0) - ok(1)).alias("d"))
-    o = d.select("d", (F.row_number().over(W.orderBy("vec_id")) - 1).cast("long").alias("at"))
-    ix = classify.draws(F.col("n"), 200, 7919, o.agg(F.count("*").alias("n")))
-    s = ix.join(o, "at").groupBy("b").agg(F.avg("d").alias("m"))
+    o = classify.numbered(preds(spark, sf).groupBy("vec_id").agg((ok(0) - ok(1)).alias("d")), "vec_id")
+    n = table(spark, sf, "embeddings").agg(F.count_distinct("vec_id").alias("n"))
+    s = classify.draws(n, 1000, 7919).join(o, "at").groupBy("b").agg(F.avg("d").alias("m"))
     q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
-    return s.agg(F.count("*").alias("rounds"), F.round(q[0], 6).alias("lo"), F.round(q[1], 6).alias("hi"), F.round(F.avg((F.col("m") > 0).cast("double")), 6).alias("above"), F.round(F.avg((F.col("m") < 0).cast("double")), 6).alias("below"))
+    share = lambda c, name: F.round(F.avg(c.cast("double")), 6).alias(name)
+    return s.agg(F.count("*").alias("rounds"), F.round(q[0], 6).alias("lo"), F.round(q[1], 6).alias("hi"), share(F.col("m") > 0, "above"), share(F.col("m") == 0, "equal"), share(F.col("m") < 0, "below"))
 
 
-@query("block_bootstrap", T + ", o AS (SELECT vec_id AS at, avg(v) AS x FROM tm GROUP BY vec_id), n AS (SELECT count(*) AS n FROM o), ix AS (SELECT b, (((7919 * b + 48271 * s + s * s * b) % 1000003) % (n - 9)) + k AS at FROM n, unnest(range(1, 101)) u(b), unnest(range(0, n // 10)) w(s), unnest(range(10)) v(k)), q AS (SELECT b, quantile_cont(x, 0.95) AS p95 FROM ix JOIN o ON ix.at = o.at GROUP BY b) SELECT round(avg(p95), 6) AS mean_p95, round(stddev_samp(p95), 6) AS sd_p95, round(min(p95), 6) AS lo, round(max(p95), 6) AS hi FROM q")
+@query("block_bootstrap", T + ", o AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS at, avg(v) AS x FROM tm GROUP BY vec_id), n AS (SELECT count(*) AS n FROM o), " + draw_sql(1000, 7919, 7) + ", q AS (SELECT b, quantile_cont(x, 0.95) AS p95 FROM ix JOIN o ON ix.at = o.at GROUP BY b) SELECT round((SELECT quantile_cont(x, 0.95) FROM o), 6) AS full_sample, count(*) AS rounds, round(avg(p95), 6) AS boot_mean, round(stddev_samp(p95), 6) AS boot_sd, round(quantile_cont(p95, 0.025), 6) AS ci_low, round(quantile_cont(p95, 0.975), 6) AS ci_high FROM q")
 def _(spark, sf):
-    o = ten(spark, sf).groupBy(F.col("vec_id").alias("at")).agg(F.avg("v").alias("x"))
-    n = o.agg(F.count("*").alias("n")).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(100)))).withColumn("s", F.explode(F.sequence(F.lit(0), (F.floor(F.col("n") / 10) - 1).cast("int")))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9))))
-    start = F.pmod(F.pmod(F.lit(7919) * F.col("b") + F.lit(48271) * F.col("s") + F.col("s").cast("long") * F.col("s") * F.col("b"), F.lit(1000003)), F.col("n") - 9)
-    q = n.select("b", (start + F.col("k")).alias("at")).join(o, "at").groupBy("b").agg(F.percentile("x", F.lit(0.95)).alias("p95"))
-    return q.agg(F.round(F.avg("p95"), 6).alias("mean_p95"), F.round(F.stddev_samp("p95"), 6).alias("sd_p95"), F.round(F.min("p95"), 6).alias("lo"), F.round(F.max("p95"), 6).alias("hi"))
+    """Moving-block bootstrap of a percentile, blocks of seven, 1,000 rounds."""
+    o = classify.numbered(ten(spark, sf).groupBy("vec_id").agg(F.avg("v").alias("x")), "vec_id")
+    n = table(spark, sf, "embeddings").agg(F.count_distinct("vec_id").alias("n"))
+    p95 = F.percentile("x", F.lit(0.95))
+    q = classify.draws(n, 1000, 7919, 7).join(o, "at").groupBy("b").agg(p95.alias("p95"))
+    return o.agg(F.round(p95, 6).alias("full_sample")).crossJoin(interval_of(q, "p95"))
+
+
+def interval_of(rounds, x):
+    """rounds, boot_mean, boot_sd and the 95 % percentile interval of one value a round."""
+    q = F.percentile(x, F.array(F.lit(0.025), F.lit(0.975)))
+    return rounds.agg(F.count("*").alias("rounds"), F.round(F.avg(x), 6).alias("boot_mean"), F.round(F.stddev_samp(x), 6).alias("boot_sd"), F.round(q[0], 6).alias("ci_low"), F.round(q[1], 6).alias("ci_high"))
+
+
+RECAL = ERR + ", w AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS at FROM (SELECT DISTINCT vec_id FROM e)), n AS (SELECT count(*) AS n FROM w), " + draw_sql(200, 31, 7) + (
+    ", r0 AS (SELECT 0 AS b, w.at AS i, node, error, valid FROM e JOIN w USING (vec_id) UNION ALL SELECT ix.b, ix.i, e.node, e.error, e.valid FROM ix JOIN w ON w.at = ix.at JOIN e USING (vec_id))"
+    ", q AS (SELECT b, node, quantile_cont(error, 0.5) AS md, quantile_cont(error, 0.75) - quantile_cont(error, 0.25) AS iqr FROM r0 WHERE valid GROUP BY b, node), ep AS (SELECT b, greatest(1e-6, 0.01 * median(iqr)) AS eps FROM q GROUP BY b)"
+    ", z AS (SELECT r0.b, r0.i, CASE WHEN valid THEN error END AS e, CASE WHEN valid THEN (error - md) / greatest(iqr, eps) END AS z FROM r0 JOIN q ON r0.b = q.b AND r0.node = q.node JOIN ep ON ep.b = r0.b)"
+    ", k AS (SELECT *, row_number() OVER (PARTITION BY b, i ORDER BY z DESC NULLS LAST) AS rk FROM z), m AS (SELECT b, i, coalesce(max(e), '-Infinity'::DOUBLE) AS m1, coalesce(max(z), '-Infinity'::DOUBLE) AS m2, coalesce(avg(z) FILTER (WHERE rk <= 3), '-Infinity'::DOUBLE) AS m3 FROM k GROUP BY b, i)"
+    ", t AS (SELECT b, unnest(['m1', 'm2', 'm3']) AS method, unnest([quantile_cont(m1, 0.99), quantile_cont(m2, 0.99), quantile_cont(m3, 0.99)]) AS tau FROM m GROUP BY b)"
+    " SELECT method, round(max(tau) FILTER (WHERE b = 0), 4) AS full_sample, count(*) FILTER (WHERE b > 0) AS rounds, round(avg(tau) FILTER (WHERE b > 0), 4) AS boot_mean, round(stddev_samp(tau) FILTER (WHERE b > 0), 4) AS boot_sd, round(quantile_cont(tau, 0.025) FILTER (WHERE b > 0), 4) AS ci_low, round(quantile_cont(tau, 0.975) FILTER (WHERE b > 0), 4) AS ci_high FROM t GROUP BY method"
+)
+
+
+@query("recalibrated_bootstrap", RECAL)
+def _(spark, sf):
+    """Moving-block bootstrap of the alert thresholds, each round calibrated anew: statistics, scores and thresholds. Round 0 is the sample itself."""
+    e = errors(spark, sf)
+    w = classify.numbered(table(spark, sf, "embeddings").select("vec_id").distinct(), "vec_id")
+    ix = classify.draws(w.agg(F.count("*").alias("n")), 200, 31, 7)
+    ix = w.select(F.lit(0).cast("long").alias("b"), F.col("at").alias("i"), "at").union(ix.select("b", "i", "at"))
+    r = ix.join(w, "at").join(e, "vec_id").select("b", "i", "node", "error", "valid")
+    m = detection.window_scores(r, detection.calibrate(r, keys=("b",)), "i", keys=("b",))
+    t = m.groupBy("b").agg(*(F.percentile(c, F.lit(0.99)).alias(c) for c in ("m1", "m2", "m3"))).unpivot("b", ["m1", "m2", "m3"], "method", "tau")
+    x = F.when(F.col("b") > 0, F.col("tau"))
+    q = F.percentile(x, F.array(F.lit(0.025), F.lit(0.975)))
+    r4 = lambda c, n: F.round(c, 4).alias(n)
+    return t.groupBy("method").agg(r4(F.max(F.when(F.col("b") == 0, F.col("tau"))), "full_sample"), F.count(x).alias("rounds"), r4(F.avg(x), "boot_mean"), r4(F.stddev_samp(x), "boot_sd"), r4(q[0], "ci_low"), r4(q[1], "ci_high"))
 
 
 @query("block_zscore", T + ", b AS (SELECT vec_id // 180 AS block, dim, avg(v) AS m, stddev_pop(v) AS s FROM tm GROUP BY 1, 2) SELECT block, count(*) FILTER (WHERE s = 0) AS constant, count(*) FILTER (WHERE s > 0 AND abs(m) < 0.01 AND abs(s - 0.12) < 0.01) AS standard, count(*) AS n FROM b GROUP BY block")

@@ -163,11 +163,16 @@ def _(spark, sf):
     return n(a.union(b).distinct(), "both_sides").crossJoin(n(a.intersect(b), "shared")).crossJoin(n(a.subtract(b), "only_a")).crossJoin(n(b.subtract(a), "only_b"))
 
 
-@query("union_test", "SELECT (SELECT count(*) FROM (SELECT o_orderkey, o_totalprice FROM orders EXCEPT ALL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 2 = 1))) AS missing, (SELECT count(*) FROM orders) AS n")
+PARTS = "a AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT o_orderkey, o_totalprice + CASE WHEN o_orderkey % 97 = 1 THEN 1 ELSE 0 END AS o_totalprice FROM orders WHERE o_orderkey % 2 = 1 UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 501 = 0), u AS (FROM a UNION ALL FROM b), o AS (SELECT o_orderkey, o_totalprice FROM orders)"
+
+
+@query("union_test", f"WITH {PARTS} SELECT (SELECT count(*) FROM (FROM o EXCEPT ALL FROM u)) AS missing, (SELECT count(*) FROM (FROM u EXCEPT ALL FROM o)) AS added, (SELECT count(*) FROM o) AS n, (SELECT count(*) FROM u) AS n_parts")
 def _(spark, sf):
+    """Whether a table is the union of two parts, by key and value, each row as often as it is there; the parts here lack some rows, change some and repeat some."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    both = o.where("o_orderkey % 2 = 0").unionByName(o.where("o_orderkey % 2 = 1"))
-    return o.exceptAll(both).agg(F.count("*").alias("missing")).crossJoin(o.agg(F.count("*").alias("n")))
+    k = F.col("o_orderkey")
+    odd = o.where(k % 2 == 1).withColumn("o_totalprice", F.col("o_totalprice") + F.when(k % 97 == 1, 1).otherwise(0))
+    return wh.union_check(o, o.where(k % 2 == 0).unionByName(odd).unionByName(o.where(k % 501 == 0)))
 
 
 @query("digest", "SELECT doc_id, sha256(text) AS sha, md5(text) AS md, length(text) AS n FROM documents")
@@ -252,20 +257,11 @@ def _(spark, sf):
     return table(spark, sf, "part").where(F.lower("p_type").contains("steel") & F.col("p_size").between(10, 30) & F.col("p_brand").isin("Brand#11", "Brand#12", "Brand#13", "Brand#21")).select("p_partkey", "p_name")
 
 
-def rounded(events):
-    v = F.col("value")
-    return events.select("event_id", maths.half_even(v, 2).alias("even"), F.round(maths.div0(F.lit(1.0), v), 6).alias("safe"), F.isnan(maths.div_nan(v, F.when(v > 50, 1).otherwise(0))).alias("undefined"))
-
-
-@query("rounding", "SELECT event_id, round_even(value, 2) AS even, round(CASE WHEN value > 0 THEN 1 / value ELSE 0.0 END, 6) AS safe, isnan(CASE WHEN value > 50 THEN value ELSE 'NaN'::DOUBLE END) AS undefined FROM events WHERE event_id % 7 = 0")
+@query("rounding", "SELECT event_id, round_even(value, 2) AS even, round(CASE WHEN value > 0 THEN 1 / value ELSE 0.0 END, 6) AS safe, isnan(CASE WHEN value > 50 THEN value ELSE 'NaN'::DOUBLE END) AS undefined FROM events")
 def _(spark, sf):
-    return rounded(table(spark, sf, "events").where("event_id % 7 = 0"))
-
-
-@query("rounding_all", "SELECT event_id, round_even(value, 2) AS even, round(CASE WHEN value > 0 THEN 1 / value ELSE 0.0 END, 6) AS safe, isnan(CASE WHEN value > 50 THEN value ELSE 'NaN'::DOUBLE END) AS undefined FROM events")
-def _(spark, sf):
-    """As rounding, whose SQL keeps every seventh event only, but over all events."""
-    return rounded(table(spark, sf, "events"))
+    v = F.col("value")
+    safe, odd = F.round(maths.div0(F.lit(1.0), v), 6), F.isnan(maths.div_nan(v, F.when(v > 50, 1).otherwise(0)))
+    return table(spark, sf, "events").select("event_id", maths.half_even(v, 2).alias("even"), safe.alias("safe"), odd.alias("undefined"))
 
 
 @query("span_expansion", "WITH s AS (SELECT n_nationkey AS k, n_nationkey * 3 AS lo, n_nationkey * 3 + n_nationkey % 4 AS hi FROM nation) SELECT k, unnest(range(lo, hi + 1))::INTEGER AS i FROM s")

@@ -9,6 +9,7 @@ from pulsegrid.functions import maths
 from pulsegrid.functions.timeutil import floor_to, iso, local_day, utc_date
 from pulsegrid.operators import detection
 from pulsegrid.operators import intervals as iv
+from pulsegrid.operators.ordered import cumulative
 
 from .registry import query
 from .views import ALERTS, CASES, GRID, GROUPS, TEL, alerts, cases, grid, tel
@@ -29,9 +30,9 @@ def _(spark, sf):
 
 EVENT_SQL = IV + (
     ", lb AS (SELECT DISTINCT t FROM cs), h AS (SELECT lb.t, iv.start_t FROM lb JOIN iv ON iv.start_t <= lb.t + 300 AND iv.end_t >= lb.t - 300)"
-    ", c AS (SELECT (SELECT count(DISTINCT t) FROM h) AS tp, (SELECT count(*) FROM iv) - (SELECT count(DISTINCT start_t) FROM h) AS fp, (SELECT count(*) FROM lb) AS nl, (SELECT count(*) FROM iv) AS ni)"
+    ", c AS (SELECT (SELECT count(DISTINCT t) FROM h) AS tp, (SELECT count(*) FROM iv) - (SELECT count(DISTINCT start_t) FROM h) AS fp, (SELECT count(*) FROM lb) AS nl, (SELECT count(*) FROM iv) AS ni, (SELECT count(*) FROM h) AS pairs, (SELECT count(DISTINCT start_t) FROM h) AS hit)"
     ", s AS (SELECT *, ni > 0 AND nl > 0 AND tp + fp > 0 AND tp > 0 AS scored, CASE WHEN tp + fp > 0 THEN round_even(tp / (tp + fp), 4) ELSE 0.0 END AS pr, CASE WHEN nl > 0 THEN round_even(tp / nl, 4) ELSE 0.0 END AS re FROM c)"
-    " SELECT ni AS n_intervals, nl AS n_labels, tp, fp, nl - tp AS fn, pr AS precision, re AS recall, CASE WHEN pr + re > 0 THEN round_even(2 * pr * re / (pr + re), 4) ELSE 0.0 END AS f1, scored FROM s"
+    " SELECT ni AS n_intervals, nl AS n_labels, tp, fp, nl - tp AS fn, pr AS precision, re AS recall, CASE WHEN pr + re > 0 THEN round_even(2 * pr * re / (pr + re), 4) ELSE 0.0 END AS f1, CASE WHEN hit > 0 THEN round_even(pairs / hit, 2) ELSE 0.0 END AS density, scored FROM s"
 )
 
 
@@ -76,15 +77,13 @@ def _(spark, sf):
 
 @query("window_capacity", RUNS + ", c AS (SELECT i, min(t) AS start_t, max(t) AS end_t, count(*) AS len FROM rn GROUP BY i) SELECT start_t, end_t, len, greatest(0, len - 6) AS capacity, len < 7 AS short FROM c")
 def _(spark, sf):
-    c = iv.islands(grid(spark, sf), lambda g: g != 600).groupBy("island").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.count("*").alias("len"))
+    c = iv.island_spans(grid(spark, sf), lambda g: g != 600).withColumnRenamed("n", "len")
     return c.select("start_t", "end_t", "len", F.greatest(F.lit(0), F.col("len") - 6).alias("capacity"), (F.col("len") < 7).alias("short"))
 
 
 @query("strided_windows", RUNS + " SELECT t AS start FROM rn WHERE k <= len - 6 AND (k - 1) % 5 = 0")
 def _(spark, sf):
-    run = iv.islands(grid(spark, sf), lambda g: g != 600)
-    size = run.groupBy("island").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    return run.join(size, "island").where("t <= hi - 3600 and (t - lo) % 3000 = 0").select(F.col("t").alias("start"))
+    return iv.strided(grid(spark, sf), 7, 600, 5)
 
 
 @query("window_categories", RUNS + """, w AS (SELECT t AS start, t + 3600 AS target FROM rn WHERE k <= len - 6),
@@ -101,12 +100,12 @@ SEG = "WITH " + TEL + ", d AS (SELECT t, t - lag(t) OVER (ORDER BY t, event_id)
 
 @query("segments", SEG + ", s AS (SELECT t, sum(CASE WHEN step > 600 THEN 1 ELSE 0 END) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS i FROM (SELECT DISTINCT ON (t) t, step FROM (SELECT t, t - lag(t) OVER (ORDER BY t) AS step FROM (SELECT DISTINCT t FROM tel)))) SELECT min(t) AS start_t, max(t) AS end_t, count(*) AS n FROM s GROUP BY i")
 def _(spark, sf):
-    return iv.islands(tel(spark, sf).select("t").distinct(), lambda g: g > 600).groupBy("island").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.count("*").alias("n")).drop("island")
+    return iv.island_spans(tel(spark, sf).select("t").distinct(), lambda g: g > 600)
 
 
 @query("collection_days", SEG + ", u AS (SELECT DISTINCT t FROM tel), q AS (SELECT t, t - lag(t) OVER (ORDER BY t) AS step FROM u), s AS (SELECT t, sum(CASE WHEN step > 1500 THEN 1 ELSE 0 END) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS i FROM q) SELECT min(t) AS start_t, max(t) AS end_t, count(*) AS n FROM s GROUP BY i")
 def _(spark, sf):
-    return iv.islands(tel(spark, sf).select("t").distinct(), lambda g: g > 1500).groupBy("island").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.count("*").alias("n")).drop("island")
+    return iv.island_spans(tel(spark, sf).select("t").distinct(), lambda g: g > 1500)
 
 
 @query("sampling_profile", SEG + " SELECT count(*) AS n, min(t) AS first_t, max(t) AS last_t, count(*) - count(DISTINCT t) AS duplicates, count(*) FILTER (WHERE step >= 600) AS gaps, max(step) AS max_step, median(step)::DOUBLE AS median_step FROM d")
@@ -123,15 +122,9 @@ def _(spark, sf):
 
 @query("segment_median", RUNS + ", c AS (SELECT count(*) AS len FROM rn GROUP BY i), o AS (SELECT len, row_number() OVER (ORDER BY len) - 1 AS k, count(*) OVER () AS m FROM c) SELECT m AS n_segments, len AS upper_median FROM o WHERE k = m // 2")
 def _(spark, sf):
-    c = iv.islands(grid(spark, sf), lambda g: g != 600).groupBy("island").count().select(F.col("count").alias("len"))
-    # the upper middle element, from counts by length: one row for each length
-    by = c.groupBy("len").agg(F.count("*").alias("k"))
-    from pyspark.sql import Window as W
-
-    up = W.orderBy("len").rowsBetween(W.unboundedPreceding, 0)
-    every = W.partitionBy(F.lit(0))
-    s = by.select("len", F.sum("k").over(up).alias("upto"), F.sum("k").over(every).alias("m"))
-    return s.where("upto > m div 2").groupBy(F.col("m").alias("n_segments")).agg(F.min("len").alias("upper_median"))
+    c = iv.island_spans(grid(spark, sf), lambda g: g != 600)
+    by = cumulative(c.groupBy(F.col("n").alias("len")).agg(F.count("*").alias("k")), "len", ["k"])  # the upper middle element, from counts by length
+    return by.where("before_k + k > all_k div 2").groupBy(F.col("all_k").alias("n_segments")).agg(F.min("len").alias("upper_median"))
 
 
 @query("nearest_tolerance", "WITH " + ALERTS + ", j AS (SELECT cs.case_id, al.t AS near, abs(cs.t - al.t) AS d FROM cs JOIN al ON abs(cs.t - al.t) <= 900), b AS (SELECT case_id, min(d) AS distance FROM j GROUP BY case_id), e AS (SELECT j.case_id, min(j.near) AS near, b.distance FROM j JOIN b ON j.case_id = b.case_id AND j.d = b.distance GROUP BY j.case_id, b.distance) SELECT cs.case_id, cs.t, e.near, e.distance FROM cs LEFT JOIN e USING (case_id)")
@@ -161,7 +154,7 @@ def _(spark, sf):
 
 @query("point_in_segment", RUNS + ", s AS (SELECT i, min(t) AS lo, max(t) + 599 AS hi FROM rn GROUP BY i) SELECT cs.case_id, s.lo AS segment_start, cs.t - s.lo AS off FROM cs LEFT JOIN s ON cs.t BETWEEN s.lo AND s.hi")
 def _(spark, sf):
-    seg = iv.islands(grid(spark, sf), lambda g: g != 600).groupBy("island").agg(F.min("t").alias("lo"), (F.max("t") + 599).alias("hi"))
+    seg = iv.island_spans(grid(spark, sf), lambda g: g != 600).select(F.col("start_t").alias("lo"), (F.col("end_t") + 599).alias("hi"))
     c = cases(spark, sf).select("case_id", "t")
     return iv.bucket_join(c, seg, "t", "lo", "hi", 86_400, "left").select("case_id", F.col("lo").alias("segment_start"), (F.col("t") - F.col("lo")).alias("off"))
 
@@ -274,8 +267,10 @@ def _(spark, sf):
 
 @query("first_detection", "WITH " + CASES + " SELECT cs.case_id, min(tel.t) AS first_t, min(tel.t) - min(cs.t) AS delay FROM cs LEFT JOIN tel ON tel.user_id = cs.user_id AND tel.t > cs.t AND tel.t <= cs.t + 86400 AND tel.value > 100 GROUP BY cs.case_id")
 def _(spark, sf):
-    c, e = cases(spark, sf), tel(spark, sf).where("value > 100").select(F.col("user_id").alias("u"), F.col("t").alias("at"))
-    j = c.join(e, (F.col("u") == F.col("user_id")) & (F.col("at") > F.col("t")) & (F.col("at") <= F.col("t") + 86400), "left")
+    e = tel(spark, sf).where("value > 100").select(F.col("user_id").alias("u"), F.col("t").alias("at"), F.floor(F.col("t") / 86400).alias("d"))
+    day = lambda x: F.floor((F.col("t") + x) / 86400)
+    c = cases(spark, sf).select("case_id", "user_id", "t", F.explode(F.array_distinct(F.array(day(1), day(86400)))).alias("day"))
+    j = c.join(e, (F.col("u") == F.col("user_id")) & (F.col("d") == F.col("day")) & (F.col("at") > F.col("t")) & (F.col("at") <= F.col("t") + 86400), "left")
     return j.groupBy("case_id").agg(F.min("at").alias("first_t"), (F.min("at") - F.min("t")).alias("delay"))
 
 

@@ -30,8 +30,31 @@ def test_lone_and_repeated_alerts_are_dropped(spark):
 
 def test_islands_cross_shards(spark):
     ts = [86_390, 86_400, 86_410, 3 * 86_400]
-    got = sorted((r.t, r.island) for r in iv.islands(frame(spark, ts), lambda g: g > 60).collect())
-    assert got == [(86_390, 0), (86_400, 0), (86_410, 0), (259_200, 1)]
+    got = sorted((r.start_t, r.end_t, r.n) for r in iv.island_spans(frame(spark, ts), lambda g: g > 60).collect())
+    assert got == [(86_390, 86_410, 3), (259_200, 259_200, 1)]
+
+
+@pytest.mark.parametrize("breaks", [lambda g: g > 60, lambda g: g >= 600, lambda g: g != 60])
+def test_island_spans_against_loops(spark, breaks):
+    random_, rows = random.Random(8), []
+    for key in "ab":
+        t = 0
+        for _ in range(400):
+            t += random_.choice([0, 30, 60, 60, 60, 599, 600, 1800, 9000])
+            rows.append((key, t))
+    want = []
+    for key in "ab":
+        last = None
+        for t in sorted(t for k, t in rows if k == key):
+            if last is None or breaks(t - last):
+                want.append([key, t, t, 0])
+            want[-1][2:] = [t, want[-1][3] + 1]
+            last = t
+    df = spark.createDataFrame(rows, "k string, t long").repartition(5)
+    for shard in (90, 3600):
+        got = iv.island_spans(df, breaks, keys=["k"], shard=shard).collect()
+        assert sorted([r.k, r.start_t, r.end_t, r.n] for r in got) == sorted(want)
+    assert iv.island_spans(df.limit(0), breaks).count() == 0
 
 
 def test_event_metrics_edges(spark):
@@ -41,6 +64,9 @@ def test_event_metrics_edges(spark):
         assert (r.tp, r.n_labels, r.fp, r.scored) == (hit, 1, 1 - hit, bool(hit))
     r = detection.event_metrics(i, frame(spark, [900, 1000, 1100])).first()
     assert (r.tp, r.fp, r.fn, r.f1) == (3, 0, 0, 1.0)
+    i = spark.createDataFrame([(1000, 1060), (5000, 5060), (9000, 9060)], "start_t long, end_t long")
+    r = detection.event_metrics(i, frame(spark, [900, 1000, 1100, 1100, 5300, 20_000])).first()
+    assert (r.n_intervals, r.n_labels, r.tp, r.fp, r.fn, r.density) == (3, 5, 4, 1, 1, 2.0)
     r = detection.event_metrics(i.limit(0), frame(spark, [])).first()
     assert (r.precision, r.recall, r.f1, r.scored) == (0.0, 0.0, 0.0, False)
 

@@ -208,10 +208,10 @@ def test_every_event_is_rounded(spark):
     from pulsegrid.plans import registry
 
     d = "/root/testdata/sf0.01"
-    got = {r.event_id: (r.even, r.safe, r.undefined) for r in registry.queries()["rounding_all"](spark, d).collect()}
+    got = {r.event_id: (r.even, r.safe, r.undefined) for r in registry.queries()["rounding"](spark, d).collect()}
     con = duckdb.connect()
     con.sql(f"create view events as select * from '{d}/events.parquet'")
-    want = {r[0]: r[1:] for r in con.sql(registry.oracle_sql()["rounding_all"]).fetchall()}
+    want = {r[0]: r[1:] for r in con.sql(registry.oracle_sql()["rounding"]).fetchall()}
     assert got == want and len(got) == spark.read.parquet(f"{d}/events.parquet").count() and any(k % 7 for k in got)
 
 
