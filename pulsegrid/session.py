@@ -1,7 +1,10 @@
-"""Sessions for local work; on a cluster the given session's settings hold."""
+"""Sessions for local work, and the folder that driver and executors share; on a cluster the given session's settings hold."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -10,3 +13,19 @@ def local_session(cpus: int = 8, memory: str = "16g") -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]").appName("pulsegrid").config("spark.sql.shuffle.partitions", str(cpus)).config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode without it, one under the temp folder."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local[") and master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}/pulsegrid-shared"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for one run's files in the shared folder."""
+    return f"{shared_dir(spark)}/pulsegrid/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"

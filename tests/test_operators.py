@@ -140,40 +140,55 @@ def test_pickles_are_read_and_never_run(spark, tmp_path):
 
 
 def test_minute_state_machine():
-    state = {"last": None, "recent": [], "open": None}
-    rows = [(0, 5.0), (60, 0.0), (120, 0.0), (60, 9.0), (720, 0.0)]
-    out = minutes.step(state, rows, 1.0)
-    assert out == [("score", 0, None, 5.0, 5.0, True), ("score", 60, None, 0.0, 5.0, True), ("score", 120, None, 0.0, 0.0, False), ("rejected", 60, None, 9.0, None, None), ("incident", 0, 60, None, None, None), ("score", 720, None, 0.0, 0.0, False)]
+    rule = minutes.Rule(threshold=1.0, step=60, context=2, gap=180, limit=50.0)
+    values = {0: 0, 60: 0, 120: 5, 180: 0, 240: 0, 300: 0, 360: 0, 420: 0, 600: 9, 660: 9, 720: 99}  # a gap after 420
+    rows = [(t, float(v)) for t, v in values.items()] + [(720, 1.0), (700, 1.0), (790, 0.0)]
+    out = minutes.step(minutes.fresh(), rows, rule)
+    kinds = [(k, c, t) for k, c, t, *_ in out]
+    assert [x[2] for x in kinds if x[0] == "window"] == [120, 180, 240, 300, 360, 420, 720]  # 600 and 660 are context of a new segment
+    assert [x for x in kinds if x[0] == "rejected"] == [("rejected", "not_after_last", 720), ("rejected", "off_grid", 700), ("rejected", "off_grid", 790)]
+    assert [x for x in kinds if x[0] == "warning"] == [("warning", "out_of_range", 720)]
+    score = {t: (s, r, a) for k, _, t, _, s, r, a in out if k == "window"}
+    assert score[120] == (5.0, 5.0, True) and score[180] == (2.5, 5.0, True) and score[240] == (2.5, 2.5, True) and score[300] == (0.0, 2.5, True) and score[360] == (0.0, 0.0, False)
+    assert score[720] == (90.0, 90.0, True)  # not the larger of it and 420's
+    assert [(t, e) for k, _, t, e, *_ in out if k == "incident"] == [(120, 300)]
+
+
+def stream_rows(folder, rows, spark, rule, parts):
+    for k in range(parts):
+        at = folder / f"in{k}"
+        spark.createDataFrame(rows[k * len(rows) // parts : (k + 1) * len(rows) // parts], "entity string, t long, value double").coalesce(1).write.parquet(f"file://{at}")
+        os.makedirs(folder / "all", exist_ok=True)
+        for n, f in enumerate(x for x in os.listdir(at) if x.endswith(".parquet")):
+            shutil.copy(at / f, folder / "all" / f"{k}-{n}.parquet")
+            os.utime(folder / "all" / f"{k}-{n}.parquet", (1000 + k, 1000 + k))
+    return minutes.run_to_end(minutes.minute_alerts(minutes.replay(spark, f"file://{folder}/all", "entity string, t long, value double"), rule), f"file://{folder}/out").collect()
 
 
 def test_stream_equals_one_pass_and_keeps_state(spark, tmp_path):
-    rows = [("a", t, float(t % 7 == 0)) for t in range(0, 12_000, 60)]
-    for k in range(3):
-        spark.createDataFrame(rows[k * 70 : (k + 1) * 70], "entity string, t long, score double").coalesce(1).write.parquet(f"{tmp_path}/in{k}")
-        os.makedirs(f"{tmp_path}/all", exist_ok=True)
-        for n, f in enumerate(x for x in os.listdir(f"{tmp_path}/in{k}") if x.endswith(".parquet")):
-            shutil.copy(f"{tmp_path}/in{k}/{f}", f"{tmp_path}/all/{k}-{n}.parquet")
-            os.utime(f"{tmp_path}/all/{k}-{n}.parquet", (1000 + k, 1000 + k))
-    stream = minutes.minute_alerts(minutes.replay(spark, f"{tmp_path}/all", "entity string, t long, score double"), 0.5)
-    run = stream.writeStream.outputMode("append").format("memory").queryName("minutes_test").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start()
-    run.awaitTermination()
-    got = sorted(map(repr, ((r.kind, r.t, r.end_t, r.score, r.rolled, r.alert) for r in spark.table("minutes_test").collect())))
-    assert got == sorted(map(repr, minutes.step({"last": None, "recent": [], "open": None}, [(t, s) for _, t, s in rows], 0.5)))
-
-
-def test_replay_gives_out_open_incidents(spark):
-    from pulsegrid.operators import intervals
+    rule = minutes.Rule(threshold=0.4)
+    rows = [("a", t, float(t // 60 % 17 in (0, 1))) for t in range(0, 12_000, 60) if t % 2460]
+    got = stream_rows(tmp_path, rows, spark, rule, 3)
+    state = minutes.fresh()
+    want = [(*r, False if r[0] == "incident" else None) for r in minutes.step(state, [(t, v) for _, t, v in rows], rule)]
+    if state["open"] and state["open"][0] < state["open"][1]:
+        want.append(("incident", "open", *state["open"], None, None, None, state["open"][1] == state["window"]))
+    assert sorted(map(repr, (tuple(r)[1:] for r in got))) == sorted(map(repr, want)) and len({w[0] for w in want}) == 2
+
+
+def test_replay_of_all_events_equals_its_sql(spark):
+    import duckdb
+
     from pulsegrid.plans import registry
 
-    out = registry.queries()["stream_replay"](spark, "/root/testdata/sf0.1").cache()
-    last = {r.entity: r.t for r in out.where("kind = 'score'").groupBy("entity").agg(F.max("t").alias("t")).collect()}
-    want = set()
-    for e in last:
-        want |= {(e, r.start_t, r.end_t, r.end_t == last[e]) for r in intervals.alert_intervals(out.where((F.col("entity") == e) & F.col("alert")).select("t")).collect()}
-    got = [(r.entity, r.t, r.end_t, r.may_continue) for r in out.where("kind = 'incident'").collect()]
-    assert len(got) == len(want) and set(got) == want
-    assert {g[:3] for g in got} >= {("view", 1706657878, 1706658958), ("purchase", 1706658747, 1706659112)}
-    assert out.where("kind <> 'incident' and may_continue is not null").isEmpty()
+    d, con = "/root/testdata/sf0.1", duckdb.connect()
+    con.sql(f"create view events as select * from '{d}/events.parquet'")
+    out = registry.queries()["stream_replay"](spark, d)
+    want = con.sql(registry.oracle_sql()["stream_replay"])
+    cols = sorted(out.columns)
+    rows = out.select(*cols).collect()
+    assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, want.select(*cols).fetchall()))
+    assert len({r.entity for r in rows}) == 5
 
 
 def test_predictor_is_vectorised(spark):
@@ -230,3 +245,22 @@ def test_the_entry_works_without_the_optional_parts(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and 'pipeline' not in q and not any(n.startswith('op1') for n in q); e.oracle_sql()"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, timeout=120).returncode == 0
+
+
+def test_the_entry_works_without_a_library_of_the_optional_parts(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if not os.path.exists(f"{root}/pulsegrid/llm"):
+        pytest.skip("the optional parts aren't there")
+    (tmp_path / "ahocorasick.py").write_text("raise ImportError('no such library')")
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and 'pipeline' not in q and not any(n.startswith('op1') for n in q); e.oracle_sql()"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"PYTHONPATH": f"{tmp_path}:{root}"}, timeout=120).returncode == 0
+
+
+def test_draws_reach_every_row(spark):
+    n = spark.createDataFrame([(3_000_000,)], "n long")
+    r = classify.draws(n, 1, 5).agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.count_distinct("i").alias("i")).first()
+    assert r.n == r.i == 3_000_000 and r.lo < 10 and 2_999_990 < r.hi < 3_000_000
+    got = classify.draws(n.select(F.lit(23).alias("n")), 3, 5, block=7).orderBy("b", "i").collect()
+    assert [x.i for x in got] == [*range(23)] * 3 and all(0 <= x["at"] < 23 for x in got)
+    assert all(y["at"] == x["at"] + 1 for x, y in zip(got[:-1], got[1:], strict=True) if y.i % 7)
+    assert classify.draws(n.where("n < 0"), 3, 5).count() == 0
