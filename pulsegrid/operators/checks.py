@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -52,16 +53,16 @@ def against(found: DataFrame, approved: DataFrame, keys: list[str], n: str = "n"
     return j.withColumn("status", status)
 
 
-def corrupted(df: DataFrame, corruptions: dict[str, dict[str, Column]], checks: dict[str, Column]) -> DataFrame:
+def corrupted(df: DataFrame, corruptions: dict[str, dict[str, Column]], checks: dict[str, Callable[[dict[str, Column]], Column]]) -> DataFrame:
     """(corruption, check, violations): each named change of columns, applied to the whole table, and what each check counts in it.
 
-    Each change is one more pass over the table, and returns one row; no changed table is ever stored.
+    A check is a function of the columns by name. All changes and checks are counts of one pass over the table, which gives one row;
+    no changed table is ever made.
     """
-    cells = []
-    for name, changes in corruptions.items():
-        changed = df.select(*(changes.get(c, F.col(c)).alias(c) for c in df.columns))
-        cells.append(changed.agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in checks.items())).select(F.lit(name).alias("corruption"), *checks))
-    return reduce(DataFrame.unionByName, cells).unpivot("corruption", list(checks), "check", "violations")
+    own = {c: F.col(c) for c in df.columns}
+    cells = {(name, check): f(own | changes) for name, changes in corruptions.items() for check, f in checks.items()}
+    row = df.agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(f"_{k}") for k, c in enumerate(cells.values())))
+    return row.select(F.explode(F.array(*(F.struct(F.lit(n).alias("corruption"), F.lit(c).alias("check"), F.col(f"_{k}").alias("violations")) for k, (n, c) in enumerate(cells)))).alias("c")).select("c.*")
 
 
 def schema_issues(df: DataFrame, expected: dict[str, str]) -> list[str]:

@@ -72,16 +72,36 @@ def _(spark, sf):
     return p.join(mask, ["user_id", "channel"], "left").groupBy("period").agg(F.count("*").alias("n"), F.count_if((F.col("value") != 0) & F.col("live").isNull()).alias("outside"))
 
 
-CORRUPT = {"clean": "value, channel, t", "value_lost": "CASE WHEN event_id % 50 = 0 THEN NULL ELSE value END AS value, channel, t", "sign_flipped": "-value AS value, channel, t", "channel_renamed": "value, upper(channel) AS channel, t", "clock_shifted": "value, channel, t - 86400 AS t"}
-RULES = {"null_value": "value IS NULL", "negative_value": "value < 0", "unknown_channel": "channel NOT IN ('click', 'error', 'purchase', 'signup', 'view')", "too_early": "t < 1704067200"}
-
-
-@query("corruption_suite", "WITH " + TEL + ", c AS (" + " UNION ALL ".join(f"SELECT '{n}' AS corruption, {s} FROM tel" for n, s in CORRUPT.items()) + ") " + " UNION ALL ".join(f"SELECT corruption, '{n}' AS \"check\", count(*) FILTER (WHERE {s}) AS violations FROM c GROUP BY corruption" for n, s in RULES.items()))
+#: A control and fifteen deliberate changes of the columns value, channel, t and user_id; the columns that a change leaves out stay.
+CORRUPT = {
+    "clean": {}, "value_lost": {"value": "CASE WHEN event_id % 50 <> 0 THEN value END"}, "value_nan": {"value": "CASE WHEN event_id % 40 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value END"},
+    "value_infinite": {"value": "CASE WHEN event_id % 60 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE value END"}, "sign_flipped": {"value": "-value"}, "unit_changed": {"value": "value * 1000"}, "channel_renamed": {"channel": "upper(channel)"},
+    "channel_lost": {"channel": "CASE WHEN event_id % 30 <> 0 THEN channel END"}, "channel_blank": {"channel": "CASE WHEN event_id % 20 = 0 THEN '' ELSE channel END"}, "channel_cut": {"channel": "substr(channel, 1, 4)"},
+    "clock_behind": {"t": "t - 86400"}, "clock_ahead": {"t": "t + 100000000"}, "clock_lost": {"t": "CASE WHEN event_id % 25 <> 0 THEN t END"}, "clock_in_milliseconds": {"t": "t * 1000"}, "user_lost": {"user_id": "CASE WHEN event_id % 15 <> 0 THEN user_id END"},
+    "user_negative": {"user_id": "-user_id - 1"},
+}
+RULES = {
+    "null_value": "value IS NULL", "value_not_a_number": "isnan(value)", "value_beyond_bound": "abs(value) > 10000 AND NOT isnan(value)", "negative_value": "value < 0", "null_channel": "channel IS NULL",
+    "unknown_channel": "channel NOT IN ('click', 'error', 'purchase', 'signup', 'view')", "null_time": "t IS NULL", "too_early": "t < 1704067200", "too_late": "t >= 1800000000", "null_user": "user_id IS NULL", "negative_user": "user_id < 0",
+}
+COLUMNS = ("value", "channel", "t", "user_id")
+
+
+@query("corruption_suite", "WITH " + TEL + ", c AS (" + " UNION ALL ".join(f"SELECT '{n}' AS corruption, " + ", ".join(f"{x.get(c, c)} AS {c}" for c in COLUMNS) + " FROM tel" for n, x in CORRUPT.items()) + ") " + " UNION ALL ".join(f"SELECT corruption, '{n}' AS \"check\", count(*) FILTER (WHERE {s}) AS violations FROM c GROUP BY corruption" for n, s in RULES.items()))
 def _(spark, sf):
-    v, ch, t = F.col("value"), F.col("channel"), F.col("t")
-    changes = {"clean": {}, "value_lost": {"value": F.when(F.col("event_id") % 50 != 0, v)}, "sign_flipped": {"value": -v}, "channel_renamed": {"channel": F.upper(ch)}, "clock_shifted": {"t": t - 86400}}
-    rules = {"null_value": v.isNull(), "negative_value": v < 0, "unknown_channel": ~ch.isin("click", "error", "purchase", "signup", "view"), "too_early": t < 1704067200}
-    return checks.corrupted(tel(spark, sf).select("event_id", "value", "channel", "t"), changes, rules)
+    v, ch, t, u, e = (F.col(c) for c in ("value", "channel", "t", "user_id", "event_id"))
+    changes = {
+        "clean": {}, "value_lost": {"value": F.when(e % 50 != 0, v)}, "value_nan": {"value": F.when(e % 40 == 0, float("nan")).otherwise(v)}, "value_infinite": {"value": F.when(e % 60 == 0, float("inf")).otherwise(v)}, "sign_flipped": {"value": -v},
+        "unit_changed": {"value": v * 1000}, "channel_renamed": {"channel": F.upper(ch)}, "channel_lost": {"channel": F.when(e % 30 != 0, ch)}, "channel_blank": {"channel": F.when(e % 20 == 0, "").otherwise(ch)}, "channel_cut": {"channel": F.substring(ch, 1, 4)},
+        "clock_behind": {"t": t - 86400}, "clock_ahead": {"t": t + 100_000_000}, "clock_lost": {"t": F.when(e % 25 != 0, t)}, "clock_in_milliseconds": {"t": t * 1000}, "user_lost": {"user_id": F.when(e % 15 != 0, u)}, "user_negative": {"user_id": -u - 1},
+    }
+    known = ("click", "error", "purchase", "signup", "view")
+    rules = {
+        "null_value": lambda c: c["value"].isNull(), "value_not_a_number": lambda c: F.isnan(c["value"]), "value_beyond_bound": lambda c: (F.abs(c["value"]) > 10_000) & ~F.isnan(c["value"]), "negative_value": lambda c: c["value"] < 0,
+        "null_channel": lambda c: c["channel"].isNull(), "unknown_channel": lambda c: ~c["channel"].isin(*known), "null_time": lambda c: c["t"].isNull(), "too_early": lambda c: c["t"] < 1704067200, "too_late": lambda c: c["t"] >= 1_800_000_000,
+        "null_user": lambda c: c["user_id"].isNull(), "negative_user": lambda c: c["user_id"] < 0,
+    }
+    return checks.corrupted(tel(spark, sf), changes, rules)
 
 
 @query("order_issues", "SELECT count(*) AS n, count(*) FILTER (WHERE p >= l_linenumber) AS out_of_order, count(*) FILTER (WHERE p IS NULL AND l_linenumber <> 1) AS bad_start FROM (SELECT l_linenumber, lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber) AS p FROM lineitem)")

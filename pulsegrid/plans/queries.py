@@ -4,3 +4,5 @@ from . import feature_queries  # noqa: F401
 from . import table_queries  # noqa: F401
 from . import stream_queries  # noqa: F401
 from . import check_queries  # noqa: F401
+from . import diagnostic_queries  # noqa: F401
+from . import source_queries  # noqa: F401

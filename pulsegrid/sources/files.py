@@ -38,6 +38,35 @@ def read_case_folders(spark: SparkSession, root: str, file: str = "simple_data.c
     return long.select(*keys, "time", F.col("c.h").alias("metric"), value.alias("value")).join(times, keys, "left")
 
 
+def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Any CSV with a header as rows of text columns; empty cells are null."""
+    return spark.read.option("header", True).csv(path)
+
+
+def write_case_folders(cases: DataFrame, root: str, file: str = "simple_data.csv", side: str = "inject_time.txt") -> None:
+    """Writes each row (service, fault, run, csv, inject) as the files of a <service>_<fault>/<run> folder; executors write, a repeated task the same bytes."""
+
+    def run(batches):
+        import uuid
+
+        import pandas as pd
+        from pyarrow import fs
+
+        for pdf in batches:
+            for r in pdf.itertuples():
+                store, base = fs.FileSystem.from_uri(root)
+                folder = f"{base}/{r.service}_{r.fault}/{r.run}"
+                store.create_dir(folder, recursive=True)
+                for name, text in ((file, r.csv), (side, r.inject)):
+                    part = f"{folder}/_{uuid.uuid4().hex}"
+                    with store.open_output_stream(part) as out:
+                        out.write(text.encode("utf-8"))
+                    store.move(part, f"{folder}/{name}")
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    cases.select("service", "fault", "run", "csv", "inject").mapInPandas(run, "n long").agg(F.sum("n")).collect()
+
+
 def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     reader = spark.read.option("multiLine", True)
     return (reader.schema(schema) if schema else reader).json(path)
@@ -66,10 +95,14 @@ def build_cache(parts: Iterable[DataFrame], key: str, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def write_fact(df: DataFrame, path: str, date: str = "utc_date", order: tuple[str, ...] = ("timestamp",), mode: str = "overwrite", files_per_day: int = 1) -> None:
-    """A fact table in a folder per date. ``files_per_day`` spreads a day over several tasks; ``mode`` is overwrite, errorifexists or append."""
-    slot = F.pmod(F.xxhash64(*order), F.lit(files_per_day))
-    df.repartition(F.col(date), slot).sortWithinPartitions(date, *order).write.mode(mode).option("compression", "zstd").partitionBy(date).parquet(path)
+def write_fact(df: DataFrame, path: str, date: str = "utc_date", order: tuple[str, ...] = ("timestamp",), mode: str = "overwrite", files_per_day: int = 1, inside: bool = False) -> None:
+    """A fact table in a folder per date. ``files_per_day`` spreads a day over several tasks; ``mode`` is overwrite, errorifexists or append.
+
+    With ``inside`` the files have the date's column too, and the folders are named <date>_day, so a file is whole by itself.
+    """
+    slot, by = F.pmod(F.xxhash64(*order), F.lit(files_per_day)), f"{date}_day" if inside else date
+    df = df.withColumn(by, F.col(date)) if inside else df
+    df.repartition(F.col(date), slot).sortWithinPartitions(date, *order).write.mode(mode).option("compression", "zstd").partitionBy(by).parquet(path)
 
 
 def first_days(df: DataFrame, n: int, date: str = "utc_date") -> DataFrame:
@@ -84,6 +117,14 @@ def inventory(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.col("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def write_dimension(df: DataFrame, path: str, name: str) -> DataFrame:
+    """Writes a small table as one file; its line of the manifest (name, n_rows, bytes, sha256). Rows are counted in what was written."""
+    spark, at = df.sparkSession, f"{path}/{name}"
+    df.coalesce(1).write.mode("overwrite").option("compression", "zstd").parquet(at)
+    n = spark.read.parquet(at).agg(F.count("*").alias("n_rows"))
+    return inventory(spark, at).where("path like '%.parquet'").crossJoin(n).select(F.lit(name).alias("name"), "n_rows", "bytes", "sha256")
+
+
 def verify_inventory(found: DataFrame, expected: DataFrame) -> DataFrame:
     """(path, status): ok, missing, unexpected or changed."""
     j = found.alias("f").join(expected.alias("e"), F.col("f.path") == F.col("e.path"), "full_outer")
