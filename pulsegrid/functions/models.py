@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Scoring rules over an array of squared errors, without Python: the mean, the last step, the mean of the last five.
@@ -27,3 +27,17 @@ def predictor(model: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], C
         return pd.Series([None if x is None else next(got) for x in xs], dtype=object)
 
     return run
+
+
+def boosted_classifier(train: DataFrame, features: str, label: str, rounds: int = 100, depth: int = 3, seed: int = 0) -> Callable[[DataFrame], DataFrame]:
+    """Fits boosted trees, one model for each class against the rest, and returns what adds ``pred``, the likeliest class, to a frame.
+
+    ``features`` is an array of numbers, ``label`` a class from 0. Its trees aren't those of other libraries with the same settings.
+    """
+    from pyspark.ml.classification import GBTClassifier, OneVsRest
+    from pyspark.ml.functions import array_to_vector
+
+    packed = lambda df: df.withColumn("_features", array_to_vector(F.col(features).cast("array<double>")))
+    one = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed, featuresCol="_features", labelCol="_label")
+    model = OneVsRest(classifier=one, featuresCol="_features", labelCol="_label", predictionCol="_pred").fit(packed(train).select("_features", F.col(label).cast("double").alias("_label")))
+    return lambda df: model.transform(packed(df)).withColumn("pred", F.col("_pred").cast("int")).select(*df.columns, "pred")

@@ -46,6 +46,31 @@ def leakage(roles: DataFrame, cases: DataFrame, boundary: int, embargo: int, ste
     return out.withColumn("status", F.when(F.col("violations") == 0, "pass").otherwise("fail"))
 
 
+def split_leakage(windows: DataFrame, cases: DataFrame, boundary: int, embargo: int, test: int, step: int) -> DataFrame:
+    """(check, violations, status) of ten leakage checks of labelled windows (start, target, role, category, case_id, fault, reason) and cases (case_id, t, grp).
+
+    Roles are fit, calibration, embargo, test and others; fault is -1 where a window has none; a group is an incident that several cases share.
+    """
+    role, target, start = F.col("role"), F.col("target"), F.col("start")
+    event = F.col("category") == "event_associated"
+    plain = rows_of(
+        windows, l5_window_leaves_its_region=F.count_if(((role == "fit") & (target >= boundary - embargo)) | ((role == "calibration") & ((start < boundary) | (target >= test)))),
+        l6_role_outside_its_period=F.count_if((role.isin("fit", "calibration") & (target >= test)) | ((role == "test") & (start < test))), l8_stray_embargo=F.count_if((role == "embargo") & ~((target >= boundary - embargo) & (start < boundary))),
+        l9_unexplained_event_window=F.count_if(event & (F.col("fault") == -1) & F.col("reason").isNull()), l10_inconsistent_reason=F.count_if(F.col("reason").isNotNull() & ~((F.col("fault") == -1) & event)),
+    )
+    sides = lambda d, *keys: d.groupBy(*keys).agg(*(F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in (("f", role == "fit"), ("c", role == "calibration"))))
+    moments = sides(windows.where(role.isin("fit", "calibration")).select("role", F.explode(F.sequence("start", "target", F.lit(step).cast("long"))).alias("m")), "m")
+    shared = rows_of(moments, l1_shared_moment=F.count_if(F.col("f") & F.col("c")))
+    own = windows.where(event & F.col("case_id").isNotNull() & role.isin("fit", "calibration")).select("case_id", "role").distinct()
+    by_case = sides(cases.join(own, "case_id", "left"), "case_id", "t", "grp")
+    case_rows = rows_of(by_case, l2_case_on_both_sides=F.count_if(F.col("f") & F.col("c")), l4_train_case_not_on_one_side=F.count_if((F.col("t") < test) & (F.col("f") == F.col("c"))))
+    groups = rows_of(by_case.groupBy("grp").agg(F.bool_or("f").alias("f"), F.bool_or("c").alias("c")), l3_group_on_both_sides=F.count_if(F.col("f") & F.col("c")))
+    place, t = F.struct("t", "case_id"), F.col("t")
+    cut = rows_of(cases, l7_cut_inside_a_group=F.when(F.max_by("grp", F.when(t < boundary, place)) != F.min_by("grp", F.when((t >= boundary) & (t < test), place)), 0).otherwise(1))
+    out = reduce(DataFrame.union, (shared, case_rows, groups, plain, cut))
+    return out.withColumn("status", F.when(F.col("violations") == 0, "pass").otherwise("fail"))
+
+
 def against(found: DataFrame, approved: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
     """(keys, found, approved, status): ok, differs, missing or unexpected counts."""
     j = found.select(*keys, F.col(n).alias("found")).join(approved.select(*keys, F.col(n).alias("approved")), keys, "full_outer")

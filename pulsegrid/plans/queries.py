@@ -6,3 +6,4 @@ from . import stream_queries  # noqa: F401
 from . import check_queries  # noqa: F401
 from . import diagnostic_queries  # noqa: F401
 from . import source_queries  # noqa: F401
+from . import protocol_queries  # noqa: F401
