@@ -108,7 +108,7 @@ def test_split_leakage_finds_what_is_planted(spark):
     cases = spark.createDataFrame([(1, 100, 10), (2, 1400, 20), (3, 5100, 30)], "case_id long, t long, grp long")
     found = lambda rows, c=cases: {r.check: r.violations for r in checks.split_leakage(spark.createDataFrame(rows, schema), c, 1200, 300, 4000, 60).collect()}
     assert set(found(clean).values()) == {0} and len(found(clean)) == 10
-    bad = found([*clean, (1320, 1680, "fit", "event_associated", 2, -1, None)])
+    bad = found([*clean, (1360, 1720, "fit", "event_associated", 2, -1, None)])
     assert {k for k, v in bad.items() if v} == {"l1_shared_moment", "l2_case_on_both_sides", "l3_group_on_both_sides", "l4_train_case_not_on_one_side", "l5_window_leaves_its_region", "l9_unexplained_event_window"}
     one_group = spark.createDataFrame([(1, 100, 10), (2, 1400, 10), (3, 5100, 30)], "case_id long, t long, grp long")
     assert {k for k, v in found(clean, one_group).items() if v} == {"l3_group_on_both_sides", "l7_cut_inside_a_group"}
