@@ -8,8 +8,10 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -619,15 +621,21 @@ def brute_toxicity(model, text):
     return 1 / (1 + math.exp(-(best + model.bias + model.length * math.log(count))))
 
 
+@cache
+def word_hash(word):
+    return int(pd.util.hash_array(np.array([word], object), categorize=False)[0])
+
+
+@cache
+def word_shape(word):
+    return quality.shapes(pa.array([word]))[0].as_py()
+
+
 def brute_quality(model, text):
     """The score of a text by sets of its n-grams."""
-    import pandas as pd
-
-    h = lambda x: int(pd.util.hash_array(np.array([x], object), categorize=False)[0])
-    shape = lambda w: quality.shapes(pa.array([w]))[0].as_py()
     words, p = text.split(), 0xC2B2AE3D27D4EB4F
-    a = [h(w) for w in words]
-    b = [h(shape(w)) + (k > 0 and words[k - 1] == w) * GOLD & U64 for k, w in enumerate(words)]
+    a = [word_hash(w) for w in words]
+    b = [word_hash(word_shape(w)) + (k > 0 and words[k - 1] == w) * GOLD & U64 for k, w in enumerate(words)]
     grams = [*a, *(x * p + y & U64 for x, y in zip(a[:-1], a[1:], strict=True)), *(x + 1 & U64 for x in b), *(x * p + y + 2 & U64 for x, y in zip(b[:-1], b[1:], strict=True)), *((x * p + y) * p + z + 3 & U64 for x, y, z in zip(b[:-2], b[1:-1], b[2:], strict=True))]
     rows = {r for r in (mix64(v) >> 44 for v in grams) if model.rows[r] != 0}
     margin = sum(float(model.rows[r]) for r in rows) / math.sqrt(max(1, len(rows))) + model.bias
