@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,22 +15,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.session import shared_dir
+
 #: Internal columns start with this, so that no input column clashes with them.
 OWN = "__pg_"
 KEY = OWN + "key"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode without it, one under the temp folder."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local[") and master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"file://{tempfile.gettempdir()}/pulsegrid-shared"
-
-
 #: Paths in the shared folder that this driver has given out, in order.
 _made: list[str] = []
 

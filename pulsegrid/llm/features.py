@@ -7,10 +7,14 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import starts_of
 
+#: Bytes of text that a fitted sample has at most, so that the driver's memory is bounded; a sample keeps one text at least.
+SAMPLE_BYTES = 64 << 20
+
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,7 +48,7 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, skip: Column, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
-    """At most ``bound`` labelled (text, label) rows, those with the smallest hashes of their ids; held-out and unlabelled rows never.
+    """At most ``bound`` labelled (text, label) rows of ``SAMPLE_BYTES`` together, those with the smallest hashes of their ids; held-out and unlabelled rows never.
 
     An id that has several labels counts once, with its largest. The ids, at most ``bound`` of them, are broadcast to the documents;
     of documents that repeat an id only the first text in order counts, so the bound holds.
@@ -56,5 +60,6 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, skip: Col
     if rows is None:
         return []
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t")).join(F.broadcast(rows), "id")
-    found = texts.groupBy("id", "y").agg(F.min("t").alias("t")).orderBy("id").collect()
-    return [(r.t, r.y) for r in found]
+    ahead = W.orderBy(F.xxhash64("id"), "id").rowsBetween(W.unboundedPreceding, 0)  # at most ``bound`` rows
+    found = texts.groupBy("id", "y").agg(F.min("t").alias("t")).withColumn("upto", F.sum(F.octet_length("t").cast("long")).over(ahead)).withColumn("place", F.row_number().over(W.orderBy(F.xxhash64("id"), "id")))
+    return [(r.t, r.y) for r in found.where((F.col("upto") <= SAMPLE_BYTES) | (F.col("place") == 1)).orderBy("id").select("t", "y").collect()]

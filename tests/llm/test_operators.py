@@ -671,6 +671,17 @@ def test_sample_is_bounded_and_leaves_out_held_out_rows(docs, small, spark):
     assert len(every) == sum(zlib.crc32(str(r.doc_id).encode()) % 3 != 1 for r in labels.collect())
 
 
+def test_sample_is_bounded_in_bytes(docs, small, spark, monkeypatch):
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    take = lambda: features.sample(docs, labels, "toxic", 10_000, features.held_out(F.col("doc_id"), 3, 1))
+    every = take()
+    monkeypatch.setattr(features, "SAMPLE_BYTES", 20_000)
+    some = take()
+    assert 1 < len(some) < len(every) and sum(len(t.encode()) for t, _ in some) <= 20_000 and {*some} < {*every}
+    monkeypatch.setattr(features, "SAMPLE_BYTES", 0)
+    assert len(take()) == 1
+
+
 def test_misspelt_words_share_vectors():
     random_ = random.Random(8)
     rows = []
