@@ -27,6 +27,8 @@ PASSAGE, GRAMS, ROWS, WIDTH = 40, (4, 5, 6), 1 << 17, 4
 FIRST, ROUNDS, POSITIVE, SCALE, DECAY = 8, 15, 1.0, 100.0, 1e-4
 #: Sampled documents that a table row has to be in at least; others stay 0, as do rows that the sample lacks.
 LEAST = 3
+#: Texts whose bags are made, and gone through, at a time.
+STRETCH = 100
 #: Distinct words that a passage's average counts at least, so that one word which a passage repeats isn't taken for all of it.
 EVIDENCE = 12
 #: Score from which a text counts as toxic.
@@ -115,17 +117,6 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return c
 
 
-def joined(parts: list[np.ndarray], kind) -> np.ndarray:
-    """The arrays one after another; each is freed once it is copied, so memory holds them once."""
-    out, at = np.empty(sum(map(len, parts)), kind), 0
-    parts.reverse()
-    while parts:
-        part = parts.pop()
-        out[at : at + len(part)] = part
-        at += len(part)
-    return out
-
-
 def fit(rows: list[tuple[str, int]], seed: int = 7) -> Model:
     """Trains embeddings and softmax jointly by L-BFGS, on passages. Without five texts of each label the model gives every text the share of label 1, or 0.5.
 
@@ -137,29 +128,29 @@ def fit(rows: list[tuple[str, int]], seed: int = 7) -> Model:
     if min(labels.sum(), len(labels) - labels.sum()) < 5:
         p = float(np.clip(labels.mean(), 0.01, 0.99)) if len(labels) else 0.5
         return Model(np.zeros(ROWS, np.float32), float(np.log(p / (1 - p))))
-    ats, weights, lengths, passes, good, bad = [], [], [], [], np.zeros(ROWS), np.zeros(ROWS)
-    for k in range(0, len(rows), 250):
-        at, weight, bounds, counts = bags(pa.array([t for t, _ in rows[k : k + 250]], pa.string()))
+    parts, passes, good, bad = [], [], np.zeros(ROWS), np.zeros(ROWS)
+    for k in range(0, len(rows), STRETCH):
+        at, weight, bounds, counts = bags(pa.array([t for t, _ in rows[k : k + STRETCH]], pa.string()))
         once = np.unique(np.repeat(np.repeat(np.arange(len(counts)), counts), np.diff(bounds)) * ROWS + at)
-        positive = labels[k : k + 250][once // ROWS] > 0
+        positive = labels[k : k + STRETCH][once // ROWS] > 0
         good += np.bincount((once % ROWS)[~positive], minlength=ROWS)
         bad += np.bincount((once % ROWS)[positive], minlength=ROWS)
-        for held, new in ((ats, at), (weights, weight), (lengths, np.diff(bounds)), (passes, counts)):
-            held.append(new)
-    at, weight = joined(ats, np.int32), joined(weights, np.float16)
-    sizes, counts = np.concatenate(lengths), np.concatenate(passes)
-    text, y, bounds = np.repeat(np.arange(len(labels)), counts), np.repeat(labels, counts), starts_of(sizes)
-    known = good + bad >= LEAST
-    for k in range(0, len(at), 1 << 20):
-        weight[k : k + (1 << 20)] *= known[at[k : k + (1 << 20)]]
-    cuts = [*range(0, len(y), 1000), len(y)]
-    stretches = [(a, b, bounds[a], bounds[b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        parts.append((at, weight.astype(np.float16), bounds))
+        passes.append(counts)
+        del once, positive, weight
+    trim()
+    counts = np.concatenate(passes)
+    text, y, known = np.repeat(np.arange(len(labels)), counts), np.repeat(labels, counts), good + bad >= LEAST
+    for at, weight, _ in parts:
+        weight *= known[at]
+    first = starts_of(np.array([len(b) - 1 for _, _, b in parts]))
+    stretches = [(a, b, *part) for a, b, part in zip(first[:-1], first[1:], parts, strict=True)]
 
     def margins(each: np.ndarray) -> np.ndarray:
-        return np.concatenate([sums_of(each[at[i:j]] * weight[i:j], bounds[a : b + 1] - i) for a, b, i, j in stretches])
+        return np.concatenate([sums_of(each[at] * weight, bounds) for _, _, at, weight, bounds in stretches])
 
     def gathered(miss: np.ndarray) -> np.ndarray:
-        return sum(np.bincount(at[i:j], weight[i:j] * np.repeat(miss[a:b], sizes[a:b]), ROWS) for a, b, i, j in stretches)
+        return sum(np.bincount(at, weight * np.repeat(miss[a:b], np.diff(bounds)), ROWS) for a, b, at, weight, bounds in stretches)
 
     random = np.random.default_rng(seed)
     table, out = random.normal(0, 0.01, (ROWS, WIDTH)), random.normal(0, 0.01, (WIDTH, 2))
