@@ -45,10 +45,10 @@ def logits(spark: SparkSession, sf: str) -> DataFrame:
 
 TEL = "tel AS (SELECT event_id, epoch_us(ts)//1000000 AS t, user_id, event_type AS channel, value FROM events)"
 CASES = TEL + ", cs AS (SELECT event_id AS case_id, t, user_id, user_id % 5 AS class FROM tel WHERE channel='error' AND value >= 120)"
-ALERTS = CASES + ", al AS (SELECT t FROM tel WHERE value > 100 AND channel <> 'error')"
+ALERTS = CASES + ", al AS (SELECT t, event_id FROM tel WHERE value > 100 AND channel <> 'error')"
 GRID = ALERTS + ", grid AS (SELECT (t//600)*600 AS t, avg(value) AS score, count(*) AS n FROM tel GROUP BY 1)"
 GROUPS = (
-    ALERTS + ", g0 AS (SELECT t, CASE WHEN t - lag(t) OVER (ORDER BY t) >= 600 THEN 1 ELSE 0 END AS nw FROM al), g1 AS (SELECT t, sum(nw) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS i FROM g0)"
+    ALERTS + ", g0 AS (SELECT t, event_id, CASE WHEN t - lag(t) OVER (ORDER BY t, event_id) >= 600 THEN 1 ELSE 0 END AS nw FROM al), g1 AS (SELECT t, sum(nw) OVER (ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS i FROM g0)"
     ", grp AS (SELECT min(t) AS start_t, max(t) AS end_t, count(*) AS n FROM g1 GROUP BY i), iv AS (SELECT DISTINCT start_t, end_t FROM grp WHERE start_t < end_t)"
 )
 TEN = "ten AS (SELECT vec_id, label, (unnest(range(1, 65)) - 1)::INTEGER AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings), tm AS (SELECT *, CASE WHEN dim < 44 THEN 'metric' WHEN dim < 54 THEN 'trace' ELSE 'log' END AS modality FROM ten)"
