@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.session import stored
+
 from .classify import numbered
 
 
@@ -41,22 +43,44 @@ def effective_sample_size(df: DataFrame, order: str, x: str, block: int = 16) ->
     return spark.createDataFrame([(n, len(good), n / (1 + 2 * sum(good)))], "n long, lags long, ess double")
 
 
+#: Passes over the shapes of a tail: (width of a step, steps to either side of the best place so far), in places of 1/4000.
+TAIL_PASSES = ((400, 30), (20, 20), (1, 20))
+
+
 def tail_threshold(df: DataFrame, keys: list[str], x: str, level: float = 0.98, risk: float = 1e-3, least: int = 10) -> DataFrame:
     """(keys, n, start, n_over, gamma, sigma, threshold, fallback): the value that a share of ``risk`` exceeds, by a generalised Pareto tail.
 
-    The tail begins at the ``level`` quantile; shape and scale are those of its excesses' mean and variance (the method of moments). With
-    fewer than ``least`` excesses, or equal ones, the threshold is the plain percentile.
+    The tail begins at the ``level`` quantile and is fitted to the excesses by maximum likelihood. For a given ratio of shape to scale
+    the likeliest shape is a mean of logarithms, so only the ratio is searched: three passes over the stored excesses, each a grouped
+    mean over a grid around the best place so far. Ratios go from -0.999 of the largest excess's inverse to 999 of the mean's; those
+    whose likeliest shape is below -1/2 aren't taken, as the likelihood need have no maximum there. With fewer than ``least`` excesses, or equal ones, the threshold is the
+    plain percentile. Null keys are a group; null values count for nothing.
     """
-    q = df.groupBy(*keys).agg(F.count(x).alias("n"), F.percentile(x, F.array(F.lit(level), F.lit(1 - risk))).alias("q"))
-    over = F.when(F.col(x) > F.col("q")[0], F.col(x) - F.col("q")[0])
-    e = df.join(q, keys).groupBy(*keys, "n", "q").agg(F.count(over).alias("n_over"), F.avg(over).alias("m"), F.var_pop(over).alias("v"))
-    ratio = F.try_divide(F.col("m") * F.col("m"), F.col("v"))
-    bad = (F.col("n_over") < least) | (F.coalesce("v", F.lit(0.0)) <= 0)
-    e = e.withColumn("gamma", F.when(~bad, 0.5 * (1 - ratio))).withColumn("sigma", F.when(~bad, 0.5 * F.col("m") * (ratio + 1)))
-    r = F.lit(risk) * F.col("n") / F.greatest(F.col("n_over"), F.lit(1))
-    flat = F.abs("gamma") < 1e-9
-    far = F.when(flat, -F.col("sigma") * F.ln(r)).otherwise(F.try_divide(F.col("sigma"), F.col("gamma")) * (F.pow(r, -F.col("gamma")) - 1))
-    return e.select(*keys, "n", F.col("q")[0].alias("start"), "n_over", "gamma", "sigma", F.when(bad, F.col("q")[1]).otherwise(F.col("q")[0] + far).alias("threshold"), bad.alias("fallback"))
+    rows = df.select(F.struct(*keys).alias("k"), F.col(x).cast("double").alias("x"))
+    start = stored(rows.groupBy("k").agg(F.count("x").alias("n"), F.percentile("x", F.array(F.lit(level), F.lit(1 - risk))).alias("q")), "tail-start")
+    over = stored(rows.join(start, "k").where(F.col("x") > F.col("q")[0]).select("k", (F.col("x") - F.col("q")[0]).alias("y")), "tail")
+    e = over.groupBy("k").agg(F.count("y").alias("n_over"), F.avg("y").alias("m"), F.max("y").alias("top"), F.min("y").alias("low"))
+    best = e.where((F.col("n_over") >= least) & (F.col("top") > F.col("low"))).select("k", "m", "top", F.lit(0).alias("place"))
+
+    def ratio(place: Column) -> Column:
+        u = F.pow(F.lit(10.0), F.abs(place) / 4000)
+        return F.when(place < 0, (1 / u - 1) / F.col("top")).otherwise((u - 1) / F.col("m"))
+
+    for width, steps in TAIL_PASSES:
+        reach = F.lit(steps * width)
+        places = F.sequence(F.col("place") - reach, F.col("place") + reach, F.lit(width))
+        grid = best.select("k", "m", "top", F.transform(places, lambda p: F.struct(p.alias("place"), ratio(p).alias("ratio"))).alias("grid"))
+        tried = over.join(grid, "k").select("k", "m", "top", "y", F.inline("grid")).groupBy("k", "m", "top", "place", "ratio").agg(F.avg(F.ln(1 + F.col("ratio") * F.col("y"))).alias("gamma"))
+        tried = tried.withColumn("sigma", F.when(F.col("place") == 0, F.col("m")).otherwise(F.try_divide("gamma", "ratio")))
+        fit = F.when((F.col("place") == 0) | (F.col("gamma") >= -0.5), -F.ln("sigma") - F.col("gamma") - 1)
+        best = tried.groupBy("k", "m", "top").agg(F.max(F.struct(fit.alias("fit"), (-F.col("place")).alias("less"), "gamma", "sigma")).alias("b"))
+        best = best.select("k", "m", "top", (-F.col("b.less")).alias("place"), "b.gamma", "b.sigma")
+    out = start.join(e.select("k", "n_over"), "k", "left").join(best.drop("m", "top"), "k", "left")
+    r = F.lit(risk) * F.col("n") / F.col("n_over")
+    far = F.when(F.col("place") == 0, -F.col("sigma") * F.ln(r)).otherwise(F.try_divide("sigma", "gamma") * (F.pow(r, -F.col("gamma")) - 1))
+    bad = F.col("sigma").isNull()
+    threshold = F.when(bad, F.col("q")[1]).otherwise(F.col("q")[0] + far)
+    return out.select("k.*", "n", F.col("q")[0].alias("start"), F.coalesce("n_over", F.lit(0)).alias("n_over"), "gamma", "sigma", threshold.alias("threshold"), bad.alias("fallback"))
 
 
 def case_vectors(rows: DataFrame, keys: list[str], t: str, x: str, minute: int = 60) -> DataFrame:

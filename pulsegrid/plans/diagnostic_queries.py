@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulsegrid.functions import maths, models
+from pulsegrid.functions import maths, models, networks
 from pulsegrid.operators import checks, detection, diagnostics, intervals, profile
 from pulsegrid.operators import warehouse as wh
 
@@ -185,10 +185,24 @@ def _(spark, sf):
     return ten(spark, sf).groupBy("label").agg(F.count("*").alias("n"), F.sum(F.conv(F.substring(h, 1, 8), 16, 10).cast("long")).alias("digest"))
 
 
-@query("tail_thresholds", "WITH q AS (SELECT event_type AS k, count(value) AS n, quantile_cont(value, 0.98) AS t, quantile_cont(value, 0.999) AS p FROM events GROUP BY 1), e AS (SELECT k, n, t, p, count(*) FILTER (WHERE value > t) AS n_over, avg(value - t) FILTER (WHERE value > t) AS m, var_pop(value - t) FILTER (WHERE value > t) AS v FROM events JOIN q ON k = event_type GROUP BY k, n, t, p), g AS (SELECT *, n_over < 10 OR coalesce(v, 0) <= 0 AS bad, 0.5 * (1 - m * m / v) AS g, 0.5 * m * (m * m / v + 1) AS s FROM e) SELECT k AS event_type, n, round(t, 6) AS start, n_over, round(CASE WHEN bad THEN p ELSE t + s / g * (pow(0.001 * n / n_over, -g) - 1) END, 4) AS threshold, bad AS fallback FROM g")
+#: One pass over a grid of ratios of shape to scale: the likeliest place of each key.
+TAIL_PASS = (
+    ", t{0} AS (SELECT k, m, top, place + j * {1} AS place, CASE WHEN place + j * {1} < 0 THEN (1 / pow(10, abs(place + j * {1}) / 4000) - 1) / top ELSE (pow(10, (place + j * {1}) / 4000) - 1) / m END AS ratio FROM b{2}, unnest(range(-{3}, {3} + 1)) u(j))"
+    ", g{0} AS (SELECT k, m, top, place, ratio, avg(ln(1 + ratio * y)) AS gamma FROM o JOIN t{0} USING (k) GROUP BY ALL), f{0} AS (SELECT *, CASE WHEN place = 0 THEN m ELSE gamma / ratio END AS sigma FROM g{0})"
+    ", b{0} AS (SELECT k, m, top, place, gamma, sigma FROM f{0} WHERE place = 0 OR gamma >= -0.5 QUALIFY row_number() OVER (PARTITION BY k ORDER BY -ln(sigma) - gamma DESC, place) = 1)"
+)
+TAIL = (
+    "WITH q AS (SELECT event_type AS k, count(value) AS n, quantile_cont(value, 0.98) AS t, quantile_cont(value, 0.999) AS p FROM events GROUP BY 1), o AS MATERIALIZED (SELECT k, value - t AS y FROM events JOIN q ON k = event_type WHERE value > t)"
+    ", e AS (SELECT k, count(*) AS n_over, avg(y) AS m, max(y) AS top, min(y) AS low FROM o GROUP BY k), b0 AS (SELECT k, m, top, 0 AS place FROM e WHERE n_over >= 10 AND top > low)"
+    + "".join(TAIL_PASS.format(k, width, k - 1, steps) for k, (width, steps) in enumerate(diagnostics.TAIL_PASSES, 1))
+    + " SELECT q.k AS event_type, n, round(t, 6) AS start, coalesce(n_over, 0) AS n_over, round(gamma, 4) AS gamma, round(CASE WHEN sigma IS NULL THEN p WHEN place = 0 THEN t - sigma * ln(0.001 * n / n_over) ELSE t + sigma / gamma * (pow(0.001 * n / n_over, -gamma) - 1) END, 4) AS threshold, sigma IS NULL AS fallback FROM q LEFT JOIN e USING (k) LEFT JOIN (SELECT k, place, gamma, sigma FROM b3) b USING (k)"
+)
+
+
+@query("tail_thresholds", TAIL)
 def _(spark, sf):
     x = table(spark, sf, "events").select("event_type", "value")
-    return diagnostics.tail_threshold(x, ["event_type"], "value").select("event_type", "n", R6("start").alias("start"), "n_over", F.round("threshold", 4).alias("threshold"), "fallback")
+    return diagnostics.tail_threshold(x, ["event_type"], "value").select("event_type", "n", R6("start").alias("start"), "n_over", F.round("gamma", 4).alias("gamma"), F.round("threshold", 4).alias("threshold"), "fallback")
 
 
 WEIGHTS = np.array([[((d * 7 + k * 3) % 11 - 5) / 10 for k in range(5)] for d in range(64)])
@@ -207,6 +221,46 @@ def _(spark, sf):
     return p.select("vec_id", maths.argmax(F.col("p")).cast("int").alias("pred"), R6(F.array_max("p")).alias("p"))
 
 
+TOKENS = networks.core_weights(7, d=4, steps=4, types=2, classes=5, channels=3)
+
+
+@query("network_forward")
+def _(spark, sf):
+    """A vector as four minutes of two nodes with two tokens of four numbers each, through attention over time and nodes and the head of faults.
+
+    A token that begins with a negative number isn't there; a node whose tokens are all missing isn't valid.
+    """
+
+    def forward(x: np.ndarray) -> np.ndarray:
+        tokens = x.reshape(-1, 4, 2, 2, 4)
+        there = tokens[..., 0] >= 0
+        valid = there.any((1, 3))
+        h = networks.core(TOKENS, tokens, there, np.array([0, 1]), valid, heads=2, layers=1)
+        z = networks.fault_logits(TOKENS, h, valid)
+        e = np.exp(z - z.max(1, keepdims=True))
+        ahead = networks.next_values(TOKENS, h, np.array([0, 1]), valid)
+        return np.concatenate([e / e.sum(1, keepdims=True), ahead.reshape(len(x), -1)], axis=1)
+
+    p = table(spark, sf, "embeddings").select("vec_id", models.predictor(forward)(F.col("embedding").cast("array<double>")).alias("p"))
+    share = F.slice("p", 1, 5)
+    return p.select("vec_id", maths.argmax(share).cast("int").alias("pred"), R6(F.array_max(share)).alias("p"), F.transform(F.slice("p", 6, 6), lambda v: F.round(v, 6)).alias("ahead"))
+
+
+REBUILD = networks.autoencoder_weights(11, inputs=4, hidden=6, layers=2, latent=3)
+
+
+@query("reconstruction_errors")
+def _(spark, sf):
+    """A vector as sixteen steps of four numbers: its squared errors after an LSTM autoencoder, a step each, by the scoring rules."""
+
+    def errors(x: np.ndarray) -> np.ndarray:
+        steps = x.reshape(-1, 16, 4)
+        return ((networks.rebuilt(REBUILD, steps, layers=2) - steps) ** 2).mean(-1)
+
+    e = table(spark, sf, "embeddings").select("vec_id", models.predictor(errors)(F.col("embedding").cast("array<double>")).alias("e"))
+    return e.select("vec_id", *(R6(rule(F.col("e"))).alias(name) for name, rule in models.SCORING_RULES.items()))
+
+
 EXPECTED = {"event_id": "bigint", "ts": "timestamp", "user_id": "bigint", "event_type": "string", "value": "float", "origin": "string"}
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.functions import models
+from pulsegrid.functions import models, networks
 from pulsegrid.operators import checks, detection, diagnostics, ordered, profile, warehouse
 from pulsegrid.sources import archives
 from pulsegrid.streaming import minutes, sinks
@@ -55,10 +55,31 @@ def test_effective_sample_size(spark):
 
 def test_tail_thresholds_fall_back_on_percentiles(spark):
     random_ = random.Random(5)
-    rows = [("a", random_.expovariate(1.0)) for _ in range(20_000)] + [("few", float(k)) for k in range(20)] + [("same", 1.0)] * 2000
+    rows = [("a", random_.expovariate(1.0)) for _ in range(20_000)] + [("few", float(k)) for k in range(20)] + [("same", 1.0)] * 2000 + [(None, 2.0), ("a", None), ("void", None)]
     got = {r.k: r for r in diagnostics.tail_threshold(spark.createDataFrame(rows, "k string, x double"), ["k"], "x").collect()}
     assert not got["a"].fallback and abs(got["a"].threshold - math.log(1000)) < 0.7 and abs(got["a"].gamma) < 0.2
     assert got["few"].fallback and abs(got["few"].threshold - 18.981) < 1e-9 and got["same"].fallback and got["same"].threshold == 1.0
+    assert got[None].threshold == 2.0 and got["void"].n == 0 and got["void"].threshold is None and len(got) == 5
+
+
+def test_tails_are_the_likeliest(spark):
+    """No shape and scale near the fitted ones, or on a coarse grid of all, makes the excesses likelier."""
+    random_ = random.Random(8)
+    draw = {"heavy": lambda u: (u**-0.4 - 1) / 0.4, "light": lambda u: (1 - u**0.3) / 0.3, "huge": lambda u: 1e6 * (u**-0.9 - 1), "short": lambda u: 1 - u}
+    rows = [(k, f(1 - random_.random())) for k, f in draw.items() for _ in range(6000)]
+    for r in diagnostics.tail_threshold(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", level=0.9).collect():
+        y = np.array([x for k, x in rows if k == r.k and x > r.start]) - r.start
+
+        def fit(gamma, sigma, y=y):
+            z = 1 + gamma * y / sigma
+            return -np.inf if z.min() <= 0 else -len(y) * math.log(sigma) - (1 + 1 / gamma) * np.log(z).sum()
+
+        best = fit(r.gamma, r.sigma)
+        assert r.n_over == len(y) and not r.fallback and r.gamma >= -0.5
+        tried = [(r.gamma + a, r.sigma * b) for a in (-0.1, -0.01, 0.01, 0.1) for b in (0.9, 0.99, 1, 1.01, 1.1)] + [(g / 20, r.sigma * 2**s) for g in range(-10, 40) if g for s in range(-4, 5)]
+        near_edge = r.k == "short"  # its shape is -1, so the fit stops at -1/2
+        assert near_edge and r.gamma < -0.49 or max(fit(g, s) for g, s in tried) <= best + 1e-3, (r, best)
+        assert abs(r.threshold - (r.start + r.sigma / r.gamma * ((0.001 * r.n / len(y)) ** -r.gamma - 1))) < 1e-6 * r.threshold
 
 
 def test_ks_p_value(spark):
@@ -170,3 +191,79 @@ def test_boosted_classifier(spark):
     df = spark.createDataFrame(rows, "x array<double>, y int").repartition(2)
     out = models.boosted_classifier(df, "x", "y", rounds=5)(df)
     assert out.columns == ["x", "y", "pred"] and out.where("pred = y").count() > 150
+
+
+def looped_attention(w, name, x, heads, there):
+    """Attention one query, head and key at a time."""
+    places, d = x.shape
+    size, qkv = d // heads, x @ w[f"{name}.qkv.w"] + w[f"{name}.qkv.b"]
+    out = np.zeros((places, d))
+    for q in range(places):
+        for h in range(heads):
+            one = lambda at, part, h=h: qkv[at, part * d + h * size : part * d + (h + 1) * size]
+            weight = {k: math.exp(sum(a * b for a, b in zip(one(q, 0), one(k, 1), strict=True)) / math.sqrt(size)) for k in range(places) if there[k]}
+            for k, e in weight.items():
+                out[q, h * size : (h + 1) * size] += e / sum(weight.values()) * one(k, 2)
+    return out @ w[f"{name}.out.w"] + w[f"{name}.out.b"]
+
+
+def test_attention_and_fusion_leave_out_what_is_missing():
+    rng, w = np.random.default_rng(1), networks.core_weights(3, d=6, steps=5, types=3, classes=4, channels=2, layers=2)
+    x, there = rng.normal(size=(7, 4, 6)), rng.random((7, 4)) < 0.6
+    there[0] = False
+    got = networks.attend(w, "0.node", np.where(there[..., None], x, 0.0), 3, there)
+    for k in range(7):
+        assert np.allclose(got[k], looped_attention(w, "0.node", np.where(there[k][:, None], x[k], 0.0), 3, there[k]))
+    fused = networks.fuse(w, np.where(there[..., None], x, np.nan), there)
+    assert np.allclose(fused[0], w["missing"])
+    for k in range(1, 7):
+        gates = [1 / (1 + math.exp(-(x[k, m] @ w["gate.w"][:, 0] + w["gate.b"][0]))) for m in range(4) if there[k, m]]
+        held = [x[k, m] for m in range(4) if there[k, m]]
+        want = sum(g * v for g, v in zip(gates, held, strict=True)) / sum(gates) if held else w["missing"]
+        assert np.allclose(fused[k], want, atol=1e-7)
+
+
+def test_network_of_windows():
+    rng, w = np.random.default_rng(4), networks.core_weights(3, d=6, steps=5, types=3, classes=4, channels=2, layers=2)
+    tokens, there, valid, kind = rng.normal(size=(3, 5, 4, 2, 6)), rng.random((3, 5, 4, 2)) < 0.7, np.ones((3, 4), bool), np.array([0, 1, 2, 1])
+    valid[1, 2], valid[2] = False, False
+    h = networks.core(w, tokens, there, kind, valid, heads=2, layers=2)
+    spoilt = np.where((there & valid[:, None, :, None])[..., None], tokens, np.nan)
+    assert np.isfinite(h).all() and np.array_equal(h, networks.core(w, spoilt, there, kind, valid, heads=2, layers=2))
+    assert not h[2].any() and not h[1, :, 2].any() and h[0].any()
+    order = [2, 0, 3, 1]
+    assert np.allclose(h[:, :, order], networks.core(w, tokens[:, :, order], there[:, :, order], kind[order], valid[:, order], heads=2, layers=2))
+    some = [0, 1, 3]
+    alone = networks.core(w, tokens[1:2, :, some], there[1:2, :, some], kind[some], np.ones((1, 3), bool), heads=2, layers=2)
+    assert np.allclose(h[1:2, :, some], alone)
+    z, ahead = networks.fault_logits(w, h, valid), networks.next_values(w, h, kind, valid)
+    assert z.shape == (3, 4) and np.allclose(z[1:2], networks.fault_logits(w, alone, np.ones((1, 3), bool))) and not ahead[2].any()
+    assert np.allclose(z[2], networks.gelu(w["fault.1.b"]) @ w["fault.2.w"] + w["fault.2.b"])
+    assert np.allclose(ahead[0, 3], h[0, -1, 3] @ w["next.w"][1] + w["next.b"][1])
+    with pytest.raises(ValueError, match="node type"):
+        networks.core(w, tokens, there, np.array([0, 1, 2, 3]), valid, heads=2, layers=2)
+    with pytest.raises(ValueError, match="minutes"):
+        networks.core(w, tokens[:, :4], there[:, :4], kind, valid, heads=2, layers=2)
+
+
+@pytest.mark.parametrize("latent", [None, 2])
+def test_autoencoder_of_loops(latent):
+    w, x = networks.autoencoder_weights(5, inputs=3, hidden=4, layers=2, latent=latent), np.random.default_rng(6).normal(size=(2, 7, 3))
+    s = lambda v: 1 / (1 + math.exp(-v))
+
+    def run(name, steps, first):
+        hs, cs, out = [list(first), list(first)], [[0.0] * 4, [0.0] * 4], []
+        for row in steps:
+            for k in range(2):
+                z = [sum(a * w[f"{name}.{k}.in"][i, j] for i, a in enumerate(row)) + sum(a * w[f"{name}.{k}.back"][i, j] for i, a in enumerate(hs[k])) + w[f"{name}.{k}.b"][j] for j in range(16)]
+                cs[k] = [s(z[4 + u]) * cs[k][u] + s(z[u]) * math.tanh(z[8 + u]) for u in range(4)]
+                hs[k] = row = [s(z[12 + u]) * math.tanh(cs[k][u]) for u in range(4)]
+            out.append(row)
+        return np.array(out)
+
+    got = networks.rebuilt(w, x, layers=2)
+    for k in range(2):
+        code = run("encoder", x[k], [0.0] * 4)[-1]
+        if latent:
+            code = (code @ w["latent.w"] + w["latent.b"]) @ w["context.w"] + w["context.b"]
+        assert np.allclose(got[k], run("decoder", [code] * 7, code) @ w["output.w"] + w["output.b"])
