@@ -335,7 +335,7 @@ def interval_of(rounds, x):
     return rounds.agg(F.count("*").alias("rounds"), F.round(F.avg(x), 6).alias("boot_mean"), F.round(F.stddev_samp(x), 6).alias("boot_sd"), F.round(q[0], 6).alias("ci_low"), F.round(q[1], 6).alias("ci_high"))
 
 
-RECAL = ERR + ", w AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS at FROM (SELECT DISTINCT vec_id FROM e)), n AS (SELECT count(*) AS n FROM w), " + draw_sql(200, 31, 7) + (
+RECAL = ERR + ", w AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS at FROM (SELECT DISTINCT vec_id FROM e)), n AS (SELECT count(*) AS n FROM w), " + draw_sql(1000, 31, 7) + (
     ", r0 AS (SELECT 0 AS b, w.at AS i, node, error, valid FROM e JOIN w USING (vec_id) UNION ALL SELECT ix.b, ix.i, e.node, e.error, e.valid FROM ix JOIN w ON w.at = ix.at JOIN e USING (vec_id))"
     ", q AS (SELECT b, node, quantile_cont(error, 0.5) AS md, quantile_cont(error, 0.75) - quantile_cont(error, 0.25) AS iqr FROM r0 WHERE valid GROUP BY b, node), ep AS (SELECT b, greatest(1e-6, 0.01 * median(iqr)) AS eps FROM q GROUP BY b)"
     ", z AS (SELECT r0.b, r0.i, CASE WHEN valid THEN error END AS e, CASE WHEN valid THEN (error - md) / greatest(iqr, eps) END AS z FROM r0 JOIN q ON r0.b = q.b AND r0.node = q.node JOIN ep ON ep.b = r0.b)"
@@ -350,7 +350,7 @@ def _(spark, sf):
     """Moving-block bootstrap of the alert thresholds, each round calibrated anew: statistics, scores and thresholds. Round 0 is the sample itself."""
     e = errors(spark, sf)
     w = classify.numbered(table(spark, sf, "embeddings").select("vec_id").distinct(), "vec_id")
-    ix = classify.draws(w.agg(F.count("*").alias("n")), 200, 31, 7)
+    ix = classify.draws(w.agg(F.count("*").alias("n")), 1000, 31, 7)
     ix = w.select(F.lit(0).cast("long").alias("b"), F.col("at").alias("i"), "at").union(ix.select("b", "i", "at"))
     r = ix.join(w, "at").join(e, "vec_id").select("b", "i", "node", "error", "valid")
     m = detection.window_scores(r, detection.calibrate(r, keys=("b",)), "i", keys=("b",))
