@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import checks, detection, intervals, profile
+from pulsegrid.operators import checks, detection, freeze, intervals, profile
 from pulsegrid.operators import warehouse as wh
 from pulsegrid.session import scratch
-from pulsegrid.sources import archives
+from pulsegrid.sources import archives, files
 
 from .check_queries import BOUNDARY, EMBARGO
 from .registry import query, sql_of
@@ -129,3 +129,22 @@ def _(spark, sf):
     archives.write_archives(packed, "r_name", "names", root)
     members = archives.read_archives(spark, root)
     return members.select(F.regexp_extract("path", r"([^/]+)\.zip$", 1).alias("r_name"), "member", "status", "size").withColumn("r_name", F.regexp_replace("r_name", "%20", " "))
+
+
+@query("test_lock", "WITH r AS (SELECT CASE WHEN event_id % 10 < 7 THEN 'fit' WHEN event_id % 10 = 7 THEN 'calibration' WHEN event_id % 10 = 8 THEN 'validation' ELSE 'test' END AS role FROM events), c AS (SELECT role, count(*) AS n FROM r GROUP BY role) SELECT step, role, n FROM c, (SELECT unnest(['locked', 'claimed', 'refused']) AS step) WHERE (step = 'claimed' AND role <> 'fit') OR (step <> 'claimed' AND role IN ('calibration', 'validation'))")
+def _(spark, sf):
+    """What may be scored before the one test run is claimed, with its token, and after a second claim was refused."""
+    root, id_ = scratch(spark, "freeze"), F.col("event_id") % 10
+    for name in ("region", "nation"):
+        table(spark, sf, name).write.parquet(f"{root}/work/{name}")
+    found = files.inventory(spark, f"{root}/work")
+    freeze.freeze(found, f"{root}/record")
+    e = table(spark, sf, "events").select(F.when(id_ < 7, "fit").when(id_ == 7, "calibration").when(id_ == 8, "validation").otherwise("test").alias("role"))
+    counted = lambda step, token: freeze.scorable(e, "role", token).groupBy(F.lit(step).alias("step"), "role").agg(F.count("*").alias("n"))
+    markers = [f"{root}/marker-{k}.json" for k in range(2)]
+    locked, claimed, second = counted("locked", None), counted("claimed", freeze.claim(found, f"{root}/record", markers)), None
+    try:
+        second = freeze.claim(found, f"{root}/record", markers)
+    except freeze.FreezeError:
+        pass
+    return locked.union(claimed).union(counted("refused", second))

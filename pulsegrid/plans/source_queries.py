@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulsegrid.session import scratch
-from pulsegrid.sources import files
+from pulsegrid.sources import cache, files
 
 from .registry import query
 from .views import table
@@ -126,3 +126,16 @@ def _(spark, sf):
     seen = F.when(~F.isnan("value"), F.col("value"))
     out = long.groupBy("service", "fault", "run").agg(F.count("*").alias("n"), F.count_if(F.isnan("value")).alias("n_missing"), F.round(F.sum(F.when(load, F.coalesce(seen, F.lit(0.0)))), 2).alias("total"), F.sum(F.when(~load, F.col("value"))).alias("keys"), F.max("inject_time").alias("inject_time"))
     return out
+
+
+@query("cache_by_change", "WITH a AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT o_orderkey, o_totalprice FROM orders) SELECT 1 AS reading, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM a UNION ALL SELECT 2, count(*), round(sum(o_totalprice), 2) FROM a UNION ALL SELECT 3, count(*), round(sum(o_totalprice), 2) FROM b")
+def _(spark, sf):
+    """A kept table read three times; before the third reading rows are added to its files."""
+    o, path, held = table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), scratch(spark, "kept"), cache.Cache(spark)
+    o.where("o_orderkey % 2 = 0").write.parquet(path)
+    count = lambda k: held.table(path).agg(F.lit(k).alias("reading"), F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")).collect()
+    rows = count(1) + count(2)
+    o.where("o_orderkey % 2 <> 0").write.mode("append").parquet(path)
+    rows += count(3)
+    held.clear()
+    return spark.createDataFrame(rows, "reading int, n long, total double")

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import io
 import stat
+import urllib.request
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of an archive's members together, and of a member in times of its packed size, at most.
 MOST_BYTES, MOST_RATIO = 8 << 30, 200
@@ -117,3 +120,122 @@ def write_archives(df: DataFrame, name: str, texts: str, root: str) -> None:
             yield pd.DataFrame({"n": [len(pdf)]})
 
     df.select(name, texts).mapInPandas(run, "n long").groupBy().sum("n").first()
+
+
+#: Bytes that are read from a remote archive, or copied, at a time.
+RANGE = 1 << 20
+
+
+class RangeFile(io.RawIOBase):
+    """A remote file whose server answers range requests, as a file to read and seek in.
+
+    ``fetched`` counts the bytes that came; ``failure`` is the last error of the connection, which zip readers take for a damaged archive.
+    """
+
+    def __init__(self, url: str, timeout: float = 60):
+        super().__init__()
+        self.url, self.timeout, self.at, self.fetched, self.failure = url, timeout, 0, 0, None
+        with urllib.request.urlopen(urllib.request.Request(url, method="HEAD"), timeout=timeout) as r:
+            self.size = int(r.headers["Content-Length"])
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.at
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        self.at = max(0, offset + {io.SEEK_SET: 0, io.SEEK_CUR: self.at, io.SEEK_END: self.size}[whence])
+        return self.at
+
+    def readinto(self, buffer) -> int:
+        n = min(len(buffer), self.size - self.at)
+        if n <= 0:
+            return 0
+        asked = urllib.request.Request(self.url, headers={"Range": f"bytes={self.at}-{self.at + n - 1}"})
+        try:
+            with urllib.request.urlopen(asked, timeout=self.timeout) as r:
+                if r.status != 206:
+                    raise OSError(f"{self.url}: the server sends no ranges")
+                data = r.read(n)
+        except OSError as e:
+            self.failure = e
+            raise
+        buffer[: len(data)] = data
+        self.at, self.fetched = self.at + len(data), self.fetched + len(data)
+        return len(data)
+
+
+def _same(uri: str, info: zipfile.ZipInfo) -> bool:
+    """Whether a file is there with a member's size and checksum."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    there = store.get_file_info(path)
+    if there.type != fs.FileType.File or there.size != info.file_size:
+        return False
+    crc = 0
+    with store.open_input_stream(path) as f:
+        while block := f.read(RANGE):
+            crc = zlib.crc32(block, crc)
+    return crc == info.CRC
+
+
+def fetch_member(url: str, member: str, target: str, most: int = MOST_BYTES, ratio: int = MOST_RATIO) -> tuple[str, int, int]:
+    """(status, size, bytes fetched): copies one member of a remote zip to ``target`` by range requests, checked against the archive's directory.
+
+    Status: fetched, present (the target has that content already), missing, symlink, directory, too_large, or damaged, which leaves no
+    target. Other members' bytes aren't fetched; the member is copied in blocks and moved into place when it is whole.
+    """
+    from pyarrow import fs
+
+    remote = RangeFile(url)
+    try:
+        with zipfile.ZipFile(io.BufferedReader(remote, RANGE)) as archive:
+            info = archive.NameToInfo.get(member)
+            if info is None:
+                return "missing", 0, remote.fetched
+            if stat.S_ISLNK(info.external_attr >> 16) or info.is_dir():
+                return "directory" if info.is_dir() else "symlink", info.file_size, remote.fetched
+            if info.file_size > most or info.file_size > ratio * max(info.compress_size, 64):
+                return "too_large", info.file_size, remote.fetched
+            if _same(target, info):
+                return "present", info.file_size, remote.fetched
+            store, path = fs.FileSystem.from_uri(target)
+            store.create_dir(path.rpartition("/")[0], recursive=True)
+            part, n = f"{path}.{uuid.uuid4().hex[:8]}.part", 0
+            try:
+                with archive.open(info) as source, store.open_output_stream(part) as out:
+                    while block := source.read(RANGE):
+                        out.write(block)
+                        n += len(block)
+                if n != info.file_size:
+                    raise EOFError(member)
+            except BaseException:
+                if store.get_file_info(part).type == fs.FileType.File:
+                    store.delete_file(part)
+                raise
+            store.move(part, path)
+            return "fetched", n, remote.fetched
+    except (zipfile.BadZipFile, EOFError, NotImplementedError, RuntimeError, zlib.error):
+        if remote.failure:
+            raise remote.failure from None
+        return "damaged", 0, remote.fetched
+
+
+def fetch_members(wanted: DataFrame, most: int = MOST_BYTES, ratio: int = MOST_RATIO) -> DataFrame:
+    """(url, member, target, status, size, fetched) of wanted members (url, member, target), each fetched by an executor; a repeated task finds what is present.
+
+    Targets are given, so no name inside an archive decides where anything is written. A server that can't be reached fails the task.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            got = [fetch_member(r.url, r.member, r.target, most, ratio) for r in pdf.itertuples()]
+            yield pdf.assign(status=[g[0] for g in got], size=[g[1] for g in got], fetched=[g[2] for g in got])
+
+    rows = wanted.select(*(F.col(c).cast("string") for c in ("url", "member", "target"))).dropna()
+    return rows.mapInPandas(run, "url string, member string, target string, status string, size long, fetched long")

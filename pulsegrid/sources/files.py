@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pickletools
+import re
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,9 +114,11 @@ def first_days(df: DataFrame, n: int, date: str = "utc_date") -> DataFrame:
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
-    """(path, bytes, sha256) of every file below a folder."""
+    """(path, bytes, sha256) of every file below a folder but hidden ones. Spark reads no empty files, so these come from its list of files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select(F.col("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    listed = spark.createDataFrame([(re.sub(r"^([^:/]+):///", r"\1:/", unquote(f)),) for f in files.inputFiles()], "path string")
+    empty = listed.join(files.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("bytes"), F.sha2(F.lit(b""), 256).alias("sha256"))
+    return files.select(F.col("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).union(empty)
 
 
 def write_dimension(df: DataFrame, path: str, name: str) -> DataFrame:
