@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import maths
-from pulsegrid.operators import classify, detection, profile
+from pulsegrid.operators import classify, detection, profile, resample
 from pulsegrid.operators.ordered import grid_quantiles
 
 from .registry import query
@@ -322,17 +322,18 @@ def _(spark, sf):
 @query("block_bootstrap", T + ", o AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS at, avg(v) AS x FROM tm GROUP BY vec_id), n AS (SELECT count(*) AS n FROM o), " + draw_sql(1000, 7919, 7) + ", q AS (SELECT b, quantile_cont(x, 0.95) AS p95 FROM ix JOIN o ON ix.at = o.at GROUP BY b) SELECT round((SELECT quantile_cont(x, 0.95) FROM o), 6) AS full_sample, count(*) AS rounds, round(avg(p95), 6) AS boot_mean, round(stddev_samp(p95), 6) AS boot_sd, round(quantile_cont(p95, 0.025), 6) AS ci_low, round(quantile_cont(p95, 0.975), 6) AS ci_high FROM q")
 def _(spark, sf):
     """Moving-block bootstrap of a percentile, blocks of seven, 1,000 rounds."""
-    o = classify.numbered(ten(spark, sf).groupBy("vec_id").agg(F.avg("v").alias("x")), "vec_id")
-    n = table(spark, sf, "embeddings").agg(F.count_distinct("vec_id").alias("n"))
-    p95 = F.percentile("x", F.lit(0.95))
-    q = classify.draws(n, 1000, 7919, 7).join(o, "at").groupBy("b").agg(p95.alias("p95"))
-    return o.agg(F.round(p95, 6).alias("full_sample")).crossJoin(interval_of(q, "p95"))
+    x = table(spark, sf, "embeddings").select("vec_id", F.explode_outer("embedding").alias("v"))
+    o = x.groupBy("vec_id").agg(F.avg(F.col("v").cast("double")).alias("x"))
 
+    def plain():
+        p95 = F.percentile("x", F.lit(0.95)).alias("p95")
+        at = classify.numbered(o, "vec_id").hint("merge")
+        return o.agg(F.lit(0).cast("long").alias("b"), p95).union(classify.draws(o.agg(F.count("vec_id").alias("n")), 1000, 7919, 7).join(at, "at").groupBy("b").agg(p95))
 
-def interval_of(rounds, x):
-    """rounds, boot_mean, boot_sd and the 95 % percentile interval of one value a round."""
+    r = resample.by_round(o, "vec_id", 1000, 7919, 7, resample.percentile_of(0.95), "p95 double", plain)
+    x = F.when(F.col("b") > 0, F.col("p95"))
     q = F.percentile(x, F.array(F.lit(0.025), F.lit(0.975)))
-    return rounds.agg(F.count("*").alias("rounds"), F.round(F.avg(x), 6).alias("boot_mean"), F.round(F.stddev_samp(x), 6).alias("boot_sd"), F.round(q[0], 6).alias("ci_low"), F.round(q[1], 6).alias("ci_high"))
+    return r.agg(F.round(F.max(F.when(F.col("b") == 0, F.col("p95"))), 6).alias("full_sample"), F.count_if(F.col("b") > 0).alias("rounds"), F.round(F.avg(x), 6).alias("boot_mean"), F.round(F.stddev_samp(x), 6).alias("boot_sd"), F.round(q[0], 6).alias("ci_low"), F.round(q[1], 6).alias("ci_high"))
 
 
 RECAL = ERR + ", w AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS at FROM (SELECT DISTINCT vec_id FROM e)), n AS (SELECT count(*) AS n FROM w), " + draw_sql(1000, 31, 7) + (
