@@ -311,9 +311,12 @@ def draw_sql(rounds: int, seed: int, block: int = 1) -> str:
 def _(spark, sf):
     """Paired bootstrap of the difference of two models' accuracy, 1,000 rounds: the 95 % interval and the shares of rounds above, at and below 0."""
     ok = lambda s: F.max(F.when((F.col("seed") == s) & (F.col("label") == F.col("pred")), 1).otherwise(0))
-    o = classify.numbered(preds(spark, sf).groupBy("vec_id").agg((ok(0) - ok(1)).alias("d")), "vec_id")
-    n = table(spark, sf, "embeddings").agg(F.count_distinct("vec_id").alias("n"))
-    s = classify.draws(n, 1000, 7919).join(o, "at").groupBy("b").agg(F.avg("d").alias("m"))
+    o = preds(spark, sf).groupBy("vec_id").agg((ok(0) - ok(1)).alias("d"))
+
+    def plain():
+        return classify.draws(o.agg(F.count("vec_id").alias("n")), 1000, 7919).join(classify.numbered(o, "vec_id").hint("merge"), "at").groupBy("b").agg(F.avg("d").alias("m"))
+
+    s = resample.by_round(o, "vec_id", 1000, 7919, 1, resample.mean, "m double", plain).where("b > 0")
     q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
     share = lambda c, name: F.round(F.avg(c.cast("double")), 6).alias(name)
     return s.agg(F.count("*").alias("rounds"), F.round(q[0], 6).alias("lo"), F.round(q[1], 6).alias("hi"), share(F.col("m") > 0, "above"), share(F.col("m") == 0, "equal"), share(F.col("m") < 0, "below"))

@@ -49,3 +49,7 @@ def test_block_bootstrap_counts_rows_without_numbers(spark, tmp_path):
     each = [np.nanquantile(np.repeat(x, resample.multiplicities(40, 7919, b, 7)), 0.95) for b in range(1001)]
     assert r.rounds == 1000 and r.full_sample == round(each[0], 6) and r.boot_mean == pytest.approx(np.mean(each[1:]), abs=1e-6)
     assert (r.ci_low, r.ci_high) == pytest.approx(tuple(np.quantile(each[1:], (0.025, 0.975))), abs=1e-6)
+
+
+def test_bootstrap_ci_makes_no_row_for_a_draw(spark, small, monkeypatch):
+    same_and_unjoined(spark, small, "bootstrap_ci", monkeypatch)
