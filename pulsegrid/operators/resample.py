@@ -11,12 +11,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Cells, rows times numbers to a row, that a worker holds at most; and tasks that the rounds are dealt to.
 MOST, GROUPS = 1 << 25, 32
 
+#: Rows that are scored at a time.
+STRETCH = 1 << 14
+
 #: Gets all rows; gives the function from each row's number of draws to a round's values, None for a round without any.
 Prepare = Callable[[pa.Table], Callable[[np.ndarray], tuple | None]]
 
@@ -122,3 +126,59 @@ def percentile_of(q: float) -> Prepare:
         return lambda counts: tuple(sorted_percentiles(values, counts[rows], (q,)) or (None,))
 
     return prepare
+
+
+def thresholds(floor: float = 1e-6, part: float = 0.01, top: int = 3, q: float = 0.99) -> Prepare:
+    """The quantiles ``q`` of ``detection.window_scores`` (m1, m2, m3) after ``detection.calibrate`` over the same draws.
+
+    Columns: nodes and errors, lists of a row's nodes and their errors; the error of a node that isn't valid is null.
+    """
+
+    def prepare(table: pa.Table) -> Callable[[np.ndarray], tuple | None]:
+        nodes = np.unique(np.concatenate([pc.unique(c.flatten()).to_numpy(zero_copy_only=False) for c in table.column("nodes").chunks] or [np.zeros(0, np.int64)]))
+        error, valid = np.zeros((len(nodes), table.num_rows)), np.zeros((len(nodes), table.num_rows), bool)
+        present, start = np.zeros((len(nodes), table.num_rows), bool), 0
+        for c in table.to_batches():
+            lists = c.column("nodes")
+            row = start + np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            at, x = np.searchsorted(nodes, lists.flatten().to_numpy(zero_copy_only=False)), c.column("errors").flatten()
+            present[at, row] = True
+            valid[at, row] = x.is_valid().to_numpy(zero_copy_only=False)
+            error[at, row] = pc.fill_null(x, 0.0).to_numpy(zero_copy_only=False)
+            start += len(lists)
+        order = []
+        for e, v in zip(error, valid, strict=True):
+            rows = np.flatnonzero(v)
+            order.append(rows[np.argsort(e[rows], kind="stable")].astype(np.int32))
+        m1 = np.where(valid, error, -np.inf).max(0, initial=-np.inf)
+        scored = valid.any(0)
+        others = np.flatnonzero(~scored)
+        present = present[:, others]
+
+        def one(counts: np.ndarray) -> tuple | None:
+            stats = [sorted_percentiles(e[rows], counts[rows], (0.25, 0.5, 0.75)) for e, rows in zip(error, order, strict=True)]
+            iqr = np.array([np.nan if s is None else s[2] - s[0] for s in stats])
+            known = np.array([s is not None for s in stats], bool)
+            if not known.any():
+                return None
+            scale = np.maximum(iqr, max(floor, part * float(np.median(iqr[known]))))
+            window = scored.copy()
+            window[others] = present[known].any(0)
+            drawn = np.flatnonzero((counts > 0) & window)
+            m2, m3 = np.empty(len(drawn)), np.empty(len(drawn))
+            for a in range(0, len(drawn), STRETCH):
+                rows = drawn[a : a + STRETCH]
+                z = np.full((len(rows), len(nodes)), -np.inf)
+                for k in np.flatnonzero(known):
+                    np.copyto(z[:, k], (error[k, rows] - stats[k][1]) / scale[k], where=valid[k, rows])
+                z.partition(max(0, len(nodes) - top), axis=1)
+                some = np.minimum(valid[:, rows].sum(0), top)
+                best = np.sort(z[:, -top:], axis=1)[:, ::-1]
+                m2[a : a + STRETCH] = best[:, 0]
+                best = np.where(np.arange(best.shape[1]) < some[:, None], best, 0.0)
+                m3[a : a + STRETCH] = np.where(some > 0, best.sum(1) / np.maximum(some, 1), -np.inf)
+            return tuple(percentile(m, counts[drawn], q) for m in (m1[drawn], m2, m3))
+
+        return one
+
+    return prepare

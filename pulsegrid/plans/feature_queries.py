@@ -353,12 +353,19 @@ RECAL = ERR + ", w AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS
 def _(spark, sf):
     """Moving-block bootstrap of the alert thresholds, each round calibrated anew: statistics, scores and thresholds. Round 0 is the sample itself."""
     e = errors(spark, sf)
-    w = classify.numbered(table(spark, sf, "embeddings").select("vec_id").distinct(), "vec_id")
-    ix = classify.draws(w.agg(F.count("*").alias("n")), 1000, 31, 7)
-    ix = w.select(F.lit(0).cast("long").alias("b"), F.col("at").alias("i"), "at").union(ix.select("b", "i", "at"))
-    r = ix.join(w, "at").join(e, "vec_id").select("b", "i", "node", "error", "valid")
-    m = detection.window_scores(r, detection.calibrate(r, keys=("b",)), "i", keys=("b",))
-    t = m.groupBy("b").agg(*(F.percentile(c, F.lit(0.99)).alias(c) for c in ("m1", "m2", "m3"))).unpivot("b", ["m1", "m2", "m3"], "method", "tau")
+    ids = table(spark, sf, "embeddings").select("vec_id").distinct()
+
+    def plain():
+        w = classify.numbered(ids, "vec_id")
+        ix = classify.draws(w.agg(F.count("*").alias("n")), 1000, 31, 7)
+        ix = w.select(F.lit(0).cast("long").alias("b"), F.col("at").alias("i"), "at").union(ix.select("b", "i", "at"))
+        r = ix.join(w.hint("merge"), "at").join(e.hint("merge"), "vec_id").select("b", "i", "node", "error", "valid")
+        m = detection.window_scores(r.hint("merge"), detection.calibrate(r, keys=("b",)), "i", keys=("b",))
+        return m.groupBy("b").agg(*(F.percentile(c, F.lit(0.99)).alias(c) for c in ("m1", "m2", "m3")))
+
+    per = e.groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("node", F.when(F.col("valid"), F.col("error")).alias("error")))).alias("s"))
+    rows = ids.join(per, "vec_id", "left").select("vec_id", F.col("s.node").alias("nodes"), F.col("s.error").alias("errors"))
+    t = resample.by_round(rows, "vec_id", 1000, 31, 7, resample.thresholds(), "m1 double, m2 double, m3 double", plain, cells=8).unpivot("b", ["m1", "m2", "m3"], "method", "tau")
     x = F.when(F.col("b") > 0, F.col("tau"))
     q = F.percentile(x, F.array(F.lit(0.025), F.lit(0.975)))
     r4 = lambda c, n: F.round(c, 4).alias(n)

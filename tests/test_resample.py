@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import classify, resample
+from pulsegrid.operators import classify, detection, resample
 from pulsegrid.plans import registry
 
 
@@ -53,3 +53,29 @@ def test_block_bootstrap_counts_rows_without_numbers(spark, tmp_path):
 
 def test_bootstrap_ci_makes_no_row_for_a_draw(spark, small, monkeypatch):
     same_and_unjoined(spark, small, "bootstrap_ci", monkeypatch)
+
+
+def test_recalibrated_bootstrap_makes_no_row_for_a_draw(spark, small, monkeypatch):
+    df = registry.queries()["recalibrated_bootstrap"](spark, small)
+    assert "md5" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted(map(tuple, df.collect()))
+    assert len(got) == 3 and all(r[2] == 1000 for r in got)
+
+
+def test_thresholds_are_those_of_the_scored_draws(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, m, float(rng.integers(0, 9)) if m else 1.0, bool((k + m) % 4)) for k in range(30) for m in range(5) if k not in (4, 17) and (m < 4 or k < 2)] + [(30, 0, 0.0, False), (31, 4, 0.0, False)]
+    e = spark.createDataFrame(rows, "at long, node long, error double, valid boolean")
+    per = e.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("node", F.when(F.col("valid"), F.col("error")).alias("error")))).alias("s"))
+    ids = spark.range(32).select(F.col("id").alias("at")).join(per, "at", "left").select("at", F.col("s.node").alias("nodes"), F.col("s.error").alias("errors"))
+    n = spark.range(1).select(F.lit(32).alias("n"))
+
+    def plain():
+        ix = classify.draws(n, 20, 31, 7).union(spark.range(32).select(F.lit(0).cast("long").alias("b"), F.col("id").alias("i"), F.col("id").alias("at")))
+        r = ix.join(e, "at").select("b", "i", "node", "error", "valid")
+        m = detection.window_scores(r, detection.calibrate(r, keys=("b",)), "i", keys=("b",))
+        return m.groupBy("b").agg(*(F.percentile(c, F.lit(0.99)).alias(c) for c in ("m1", "m2", "m3")))
+
+    got = resample.by_round(ids, "at", 20, 31, 7, resample.thresholds(), "m1 double, m2 double, m3 double", plain, cells=8)
+    for a, b in zip(sorted(map(tuple, got.collect())), sorted(map(tuple, plain().collect())), strict=True):
+        assert a == pytest.approx(b, rel=1e-12)
