@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import starts_of
 
-#: Bytes of text that a fitted sample has at most, so that the driver's memory is bounded; a sample keeps one text at least.
+#: Bytes of text that a fitted sample has at most, so that the memory of what fits it is bounded; a sample keeps one text at least.
 SAMPLE_BYTES = 64 << 20
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -47,8 +47,8 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts == part
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, skip: Column, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
-    """At most ``bound`` labelled (text, label) rows of ``SAMPLE_BYTES`` together, those with the smallest hashes of their ids; held-out and unlabelled rows never.
+def sampled(docs: DataFrame, labels: DataFrame, label: str, bound: int, skip: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
+    """At most ``bound`` labelled (id, t, y) rows of ``SAMPLE_BYTES`` together, None without labels: those with the smallest hashes of their ids; held-out and unlabelled rows never.
 
     An id that has several labels counts once, with its largest. The ids, at most ``bound`` of them, are broadcast to the documents;
     of documents that repeat an id only the first text in order counts, so the bound holds.
@@ -58,8 +58,14 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, skip: Col
     spark = docs.sparkSession
     rows = spark.createDataFrame(chosen.toPandas(), "id long, y int") if chosen.head(1) else None
     if rows is None:
-        return []
+        return None
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t")).join(F.broadcast(rows), "id")
     ahead = W.orderBy(F.xxhash64("id"), "id").rowsBetween(W.unboundedPreceding, 0)  # at most ``bound`` rows
     found = texts.groupBy("id", "y").agg(F.min("t").alias("t")).withColumn("upto", F.sum(F.octet_length("t").cast("long")).over(ahead)).withColumn("place", F.row_number().over(W.orderBy(F.xxhash64("id"), "id")))
-    return [(r.t, r.y) for r in found.where((F.col("upto") <= SAMPLE_BYTES) | (F.col("place") == 1)).orderBy("id").select("t", "y").collect()]
+    return found.where((F.col("upto") <= SAMPLE_BYTES) | (F.col("place") == 1)).select("id", "t", "y")
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, skip: Column, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
+    """(text, label) of the rows of ``sampled`` in the order of their ids."""
+    found = sampled(docs, labels, label, bound, skip, id_col, text_col)
+    return [] if found is None else [(r.t, r.y) for r in found.orderBy("id").select("t", "y").collect()]

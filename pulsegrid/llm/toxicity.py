@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import KEY, chunks, picked, starts_of, sums_of, trim
-from .features import GOLD, held_out, mixed, sample, tokens
+from .features import GOLD, held_out, mixed, sampled, tokens
 
 #: Labelled documents that a model is fitted on, at most.
 SAMPLE = 4_000
@@ -236,10 +236,16 @@ def scores(model: Model, texts: pa.Array) -> np.ndarray:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model of at most ``bound`` labelled documents whose id's crc32 mod 3 isn't 1."""
-    model = fit(sample(docs, labels, "toxic", bound, held_out(F.col("doc_id"), 3, 1), id_col, text_col))
+    """A model of at most ``bound`` labelled documents whose id's crc32 mod 3 isn't 1. A task fits it, so the driver gets only the model."""
+    found = sampled(docs, labels, "toxic", bound, held_out(F.col("doc_id"), 3, 1), id_col, text_col)
+    fitted = [] if found is None else found.repartition(1).sortWithinPartitions("id").select("t", "y").mapInArrow(_fitted, "rows binary, bias double, length double").collect()
+    return Model(np.frombuffer(fitted[0].rows, np.float32), fitted[0].bias, fitted[0].length) if fitted else fit([])
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    model = fit([row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
     trim()
-    return model
+    yield pa.record_batch([pa.array([model.rows.tobytes()], pa.binary()), pa.array([model.bias]), pa.array([model.length])], names=["rows", "bias", "length"])
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,12 +4,15 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
+import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pulsegrid.llm import bpe, toxicity
+from pulsegrid.llm import bpe, features, toxicity
 
 from .test_operators import brute_links, brute_mix
 
@@ -52,3 +55,15 @@ def test_stages_keep_the_columns_and_take_empty_and_odd_tables(spark, small):
             now = corpus_pipeline.written(stage(spark, now, small), "odd")
             assert now.columns == docs.columns
         corpus_pipeline.STAGES[-1][1](spark, now, small).count()
+
+
+def test_the_driver_does_not_fit_the_toxicity_model(spark, small, monkeypatch):
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    want = toxicity.fit(features.sample(docs, labels, "toxic", toxicity.SAMPLE, features.held_out(F.col("doc_id"), 3, 1)))
+
+    def refused(rows):
+        raise AssertionError("fitted by the driver")
+
+    monkeypatch.setattr(toxicity, "fit", refused)
+    got = toxicity.fit_toxicity(docs, labels)
+    assert got.rows.any() and np.allclose(got.rows, want.rows, atol=1e-6) and (got.bias, got.length) == pytest.approx((want.bias, want.length))
